@@ -1,0 +1,74 @@
+"""Connected components of a link table by randomized contraction.
+
+Each round maps every node to the neighbour (or itself) with the smallest
+pseudo-random rank and relabels the links; the expected number of nodes that
+still have links falls by a constant factor, so rounds grow with the logarithm
+of the input. Only min-aggregates and equi-joins are used, every round is cut
+by a reliable checkpoint, and nothing but a link count reaches the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from conceptflow.session import cut
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace each block of links by a star forest with the same components."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        stars = [(x, r) for x in parent if (r := find(x)) != x]
+        if stars:
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """``links``: two bigint columns. Returns (node, root) for every node with a link to another.
+
+    ``root`` is one node of the component, the same for all its nodes. Links of
+    a node to itself, repeated links and nulls are ignored; no links: no rows.
+    """
+    a, b = links.columns
+    edges = cut(
+        links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+        .where("a is not null and b is not null and a <> b")
+        .mapInArrow(_forest, "a bigint, b bigint")
+    )
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c).alias("r"), F.col(c).alias("v"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.first(rank("a")).alias("own"))
+        step = cut(best.select(F.col("a").alias("node"), F.least("m", "own")["v"].alias("to")))
+        maps.append(step)
+        left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        edges = cut(
+            edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        )
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    root = maps[-1].select(F.col("node"), F.col("to").alias("root"))
+    for step in reversed(maps[:-1]):
+        later = root.select(F.col("node").alias("to"), F.col("root"))
+        root = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        root = cut(root)
+    return root
