@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from conceptflow.llm import simhash
+from conceptflow.llm import decontaminate, secrets, simhash
 
-_MODULES = (simhash,)
+_MODULES = (simhash, decontaminate, secrets)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
