@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,22 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def steady(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``scan`` without the cycle collector, which would walk every word of a batch again and again.
+
+    Words and hashes form no cycles; they are freed by their reference counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from scan(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id bigint, text as UTF-8 bytes); whatever else the table has stays in the file."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))

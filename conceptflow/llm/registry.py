@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from conceptflow.llm import decontaminate, packing, secrets, sharding, simhash
+from conceptflow.llm import decontaminate, packing, secrets, sharding, simhash, substrings
 
-_MODULES = (simhash, decontaminate, secrets, sharding, packing)
+_MODULES = (simhash, decontaminate, secrets, sharding, packing, substrings)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
