@@ -12,6 +12,7 @@ length, in a table whose size is bounded by the capacity.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,15 +27,20 @@ from conceptflow.llm import arrow
 from conceptflow.session import cut, table
 
 CAPACITY = 4096
-#: Cached spellings of a worker; at the bound the cache starts anew.
-CACHE = 400_000
+#: Cached words of a worker (about 200 bytes each); at the bound the cache starts anew.
+CACHE = 1_000_000
+#: Texts for which normalising is lower-casing alone: printable ASCII, precomposed Latin letters, blanks.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž \t\n\r\x0b\x0c]*")
+#: Fixed value: the tokenizer's own word pattern, over these characters.
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ž]+|[0-9]|[^a-zß-öø-įı-ž0-9 \t\n\r\x0b\x0c]+")
 
 
 class Encoder:
-    """Token ids, as little-endian bytes, of texts; each distinct spelling between blanks is encoded once.
+    """Token ids, as little-endian bytes, of texts; each distinct word is encoded once.
 
-    The tokenizer's words never cross ASCII white space, so a text's ids are
-    those of its parts in order.
+    A plain text is lower-cased and cut by the tokenizer's own word pattern. The
+    tokenizer's words never cross ASCII white space, so any other text is cut
+    there, and its parts that aren't plain are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,29 +49,64 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> list[str]:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return _WORD.findall(text.lower())
+        found = []
+        for part in text.encode().split():
+            word = part.decode()
+            found += _WORD.findall(word.lower()) if "<|" not in word and _PLAIN.fullmatch(word) else [word]
+        return found
+
+    def _learn(self, fresh: list[str]) -> None:
+        plain = [w for w in fresh if "<|" not in w and _PLAIN.fullmatch(w)]
+        for i in range(0, len(plain), 5000):
+            some = plain[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) == len(some):
+                code, at = ids.tobytes(), 0
+                for word, stop in zip(some, stops.tolist(), strict=True):
+                    self.known[word], at = code[at:stop], stop
+        rest = [w for w in fresh if w not in self.known]
+        for word, code in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(code.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        known, parts = self.known, [text.split() for text in texts]
-        fresh = list({w for words in parts for w in words if w not in known})
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = list({w for words in parts for w in words})
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            codes = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            for word, code in zip(some, codes, strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in parts]
+        cut = [self._cut(text.decode()) for text in texts]
+        wanted = set().union(*cut)
+        fresh = list(wanted.difference(self.known))
+        if len(self.known) + len(fresh) > CACHE:
+            self.known.clear()
+            fresh = list(wanted)
+        self._learn(fresh)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [])
             texts = [x or b"" for x in batch.column(1).to_pylist()]
-            for row, ids in enumerate(encoder.ids(texts)):
+            for row, ids in enumerate(own.ids(texts)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
@@ -84,7 +125,7 @@ def _pieces(path: str, end_id: int, capacity: int):
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut at ``capacity``."""
     arrow.batched(docs.sparkSession)
-    return arrow.id_and_text(docs).mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return arrow.id_and_text(docs).mapInArrow(arrow.steady(_pieces(tokenizer, end_id, capacity)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 @dataclass(frozen=True)
