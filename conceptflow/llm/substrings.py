@@ -8,7 +8,11 @@ of all windows is shuffled. Marked windows that stand in one document alone
 end there. Level 2 doubles: full windows around surviving marks are hashed
 (128 bits) and compared in the same way; those whose sequence also starts in a
 document with a smaller id are removed. Longer repeats consist of such windows,
-so doubling ends here for removal; ``longest_repeats`` goes on doubling.
+so doubling ends at the length that removal is defined by.
+
+Equal texts are one text from the start, known by its hash: a copy of an earlier
+document loses all it has without any window being compared, and a mark must
+stand in two different texts to survive.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from conceptflow.llm import arrow
 from conceptflow.llm.textscan import RollingHash, covered, space_words, word_hashes
-from conceptflow.session import cut, table
+from conceptflow.session import shelve, table
 
 _SECOND_BASE, _SECOND_SEED = 0xC2B2AE3D27D4EB4F, 11
 
@@ -56,16 +60,16 @@ def _marked(half: int, width: int):
                 values.append(own[at])
                 places.append(at)
             if rows:
-                ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+                keys = batch.column(0).take(pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["doc_id", "h", "at"]
+                    [keys, pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["k", "h", "at"]
                 )
 
     return scan
 
 
 def _doubled(half: int, width: int):
-    """Full windows that hold a surviving mark: rows (doc_id, text, at: array) to (doc_id, h, g, at)."""
+    """Full windows that hold a surviving mark: rows (doc_id, text, at: array, k) to (doc_id, k, h, g, at)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = RollingHash(), RollingHash(_SECOND_BASE)
@@ -84,9 +88,10 @@ def _doubled(half: int, width: int):
                 places.append(starts)
             if rows:
                 values = [pa.array(np.concatenate(x).view(np.int64)) for x in (h, g)]
+                own = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), *values, pa.array(np.concatenate(places).astype(np.int32))],
-                    ["doc_id", "h", "g", "at"],
+                    [batch.column(0).take(own), batch.column(3).take(own), *values, pa.array(np.concatenate(places).astype(np.int32))],
+                    ["doc_id", "k", "h", "g", "at"],
                 )
 
     return scan
@@ -96,10 +101,13 @@ def _removed(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, texts = [], [], []
-            for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, at, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = space_words(text)
                 total.append(len(words))
-                if at:
+                if copy and len(words) >= width:
+                    gone.append(len(words))
+                    words = []
+                elif at:
                     mask = covered(np.array(at, np.int64), width, len(words))
                     gone.append(int(mask.sum()))
                     words = [w for w, out in zip(words, mask.tolist(), strict=True) if not out]
@@ -114,21 +122,30 @@ def _removed(width: int):
     return scan
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, least): windows that stand in two documents or more, with the smallest id."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, k2, text): 128 bits of a text's hash, null being empty."""
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
 
-def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, at: array<int>): starts of windows of ``width`` words that also start in a document with a smaller id."""
-    arrow.batched(docs.sparkSession)
+def _first_owners(keyed: DataFrame) -> DataFrame:
+    """(k, k2, doc_id): the smallest document of each text."""
+    return keyed.groupBy("k", "k2").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _places(keyed: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """(doc_id, k, at: array<int>): starts of windows, in texts' first owners, that also start in a smaller document."""
     half = (width + 1) // 2
-    narrow = arrow.id_and_text(docs)
-    first = cut(narrow.mapInArrow(arrow.steady(_marked(half, width)), "doc_id bigint, h bigint, at int"))
-    alive = first.join(_repeated(first, ["h"]), "h").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    second = cut(narrow.join(alive, "doc_id").mapInArrow(arrow.steady(_doubled(half, width)), "doc_id bigint, h bigint, g bigint, at int"))
-    later = second.join(_repeated(second, ["h", "g"]), ["h", "g"]).where("least < doc_id")
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    first = shelve(keyed.select("k", "text").mapInArrow(arrow.steady(_marked(half, width)), "k bigint, h bigint, at int"))
+    shared = first.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("h")
+    alive = first.join(shared, "h").groupBy("k").agg(F.collect_set("at").alias("at"))
+    alive = owners.select("k", "doc_id").join(alive, "k").select("doc_id", "k", "at")
+    rows = keyed.select("doc_id", "k", "text").join(alive, ["doc_id", "k"]).select("doc_id", "text", "at", "k")
+    second = rows.mapInArrow(arrow.steady(_doubled(half, width)), "doc_id bigint, k bigint, h bigint, g bigint, at int")
+    repeated = second.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    later = second.join(repeated.select("h", "g", "least"), ["h", "g"]).where("least < doc_id")
+    return later.groupBy("doc_id", "k").agg(F.collect_set("at").alias("at"))
 
 
 def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -137,15 +154,22 @@ def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
     kept: the remaining words joined by one space. A word goes if any window of
     ``width`` words over it also starts in a document with a smaller doc_id,
     judged on the input. Null texts have no words and give an empty kept; texts
-    below ``width`` words stay; rows that share a doc_id are one document for
-    the comparison; a null doc_id neither removes nor loses anything; an empty
+    below ``width`` words stay; rows that share a doc_id don't remove from each
+    other; a null doc_id neither removes nor loses anything; an empty
     table gives no rows; other columns are ignored.
     """
     if width < 2:
         raise ValueError("a window has two words at least")
-    found = repeated_windows(docs.where("doc_id is not null"), width)
-    rows = arrow.id_and_text(docs).join(found, "doc_id", "left").select("doc_id", "text", "at")
-    return rows.mapInArrow(arrow.steady(_removed(width)), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    arrow.batched(docs.sparkSession)
+    keyed = _keyed(docs.where("doc_id is not null"))
+    owners = shelve(_first_owners(keyed))
+    places = _places(keyed, owners, width)
+    copies = keyed.select("doc_id", "k", "k2").join(owners.withColumnRenamed("doc_id", "owner"), ["k", "k2"]).where("owner < doc_id").select("doc_id", "k").distinct()
+    found = places.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    # The same exchange of the texts serves the level above and this join.
+    rows = keyed.select("doc_id", "k", "text").join(found, ["doc_id", "k"], "left").select("doc_id", "text", "at", "copy")
+    nameless = arrow.id_and_text(docs.where("doc_id is null")).select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("copy"))
+    return rows.unionByName(nameless).mapInArrow(arrow.steady(_removed(width)), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
