@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHELVES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "conceptflow") -> SparkSession:
     """A session with the settings that the engine expects (AQE on, UTC)."""
     return (
@@ -47,4 +52,20 @@ def shelve(df: DataFrame) -> DataFrame:
     """
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    shelved = df.sparkSession.read.parquet(path)
+    _SHELVES[shelved] = path
+    return shelved
+
+
+def discard(*shelved: DataFrame) -> None:
+    """Delete shelved tables that no later step reads."""
+    for df in shelved:
+        if path := _SHELVES.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
