@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from conceptflow.llm import arrow
 from conceptflow.llm.textscan import RollingHash, covered, space_words, word_hashes
-from conceptflow.session import shelve, table
+from conceptflow.session import discard, release, shelve, table
 
 _SECOND_BASE, _SECOND_SEED = 0xC2B2AE3D27D4EB4F, 11
 
@@ -139,7 +139,10 @@ def _places(keyed: DataFrame, owners: DataFrame, width: int) -> DataFrame:
     half = (width + 1) // 2
     first = shelve(keyed.select("k", "text").mapInArrow(arrow.steady(_marked(half, width)), "k bigint, h bigint, at int"))
     shared = first.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("h")
-    alive = first.join(shared, "h").groupBy("k").agg(F.collect_set("at").alias("at"))
+    alive = shelve(first.join(shared, "h").groupBy("k").agg(F.collect_set("at").alias("at")))
+    del shared
+    discard(first)
+    release(alive.sparkSession)
     alive = owners.select("k", "doc_id").join(alive, "k").select("doc_id", "k", "at")
     rows = keyed.select("doc_id", "k", "text").join(alive, ["doc_id", "k"]).select("doc_id", "text", "at", "k")
     second = rows.mapInArrow(arrow.steady(_doubled(half, width)), "doc_id bigint, k bigint, h bigint, g bigint, at int")
