@@ -5,7 +5,7 @@ every window of a text (a word in a fixed frame) is compressed with each. Frame
 and empty dictionary matches cost the same on both sides, so the difference of
 the two lengths is what the toxic dictionary knows better. A document is
 described by its windows' largest gains, and a logistic calibration, fitted on
-labelled documents that the dictionaries haven't seen, gives the score.
+labelled documents with dictionaries of the other folds, gives the score.
 
 Labels are of whole documents while the tell-tale part may be a few words, so
 the toxic dictionary holds the windows that recur in toxic documents and hardly
@@ -16,6 +16,7 @@ once in a worker, as long as its cache lasts.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +37,12 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 8192
 DICTIONARY_BYTES, LEVEL = 1 << 16, 19
 FRAME = b"|~window~|"
 THRESHOLD = 0.3
+#: Bytes below which a window says nothing: zstandard's shortest matches take as much.
+SHORTEST = 4
 #: Least log-likelihood ratio of a window for the toxic dictionary.
-SURPRISE = 30.0
+SURPRISE = 40.0
+#: Gain per byte that is clear.
+CLEAR = 0.55
 #: Distinct windows whose lengths a worker keeps.
 CACHE = 1_000_000
 
@@ -82,7 +87,7 @@ class Gains:
             fresh = set(words)
         for word in fresh:
             framed = FRAME + word + FRAME
-            known[word] = (len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))) / max(1, len(word))
+            known[word] = 0.0 if len(word) < SHORTEST else (len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))) / len(word)
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def features(self, text: bytes | None) -> list[float]:
@@ -93,7 +98,7 @@ class Gains:
         gains = self.of(words)
         distinct = np.sort(self.of(list(set(words))))[::-1]
         top = [float(distinct[k]) if len(distinct) > k else 0.0 for k in range(3)]
-        return [*np.maximum(top, 0.0).tolist(), float(np.log1p((gains > 0.75).sum())), float((gains > 0.75).mean() ** 0.5)]
+        return [*np.maximum(top, 0.0).tolist(), float(np.log1p((gains > CLEAR).sum())), float((gains > CLEAR).mean() ** 0.5)]
 
 
 def surprise(a: int, b: int, n: int, m: int) -> float:
@@ -119,26 +124,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w[:-1], float(w[-1])
 
 
-def fit(sample: list[tuple[int, bytes, int]]) -> Model:
-    """Dictionaries from two thirds of the sample, calibration from the other. Needs both labels in either part."""
-    parts = [[r for r in sample if r[0] % 3 < 2], [r for r in sample if r[0] % 3 == 2]]
-    if any({r[2] for r in part} != {0, 1} for part in parts):
-        rate = (sum(r[2] for r in sample) + 1) / (len(sample) + 2)
-        return Model(b"", b"", (0.0,) * 5, float(np.log(rate / (1 - rate))))
-    # A text that many copies repeat is one text here.
-    texts = {(text, y) for _, text, y in parts[0]}
+def dictionaries(sample: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) from labelled texts; a text that many copies repeat counts once."""
+    texts = {(text, y) for _, text, y in sample}
     seen: dict[int, Counter[bytes]] = {0: Counter(), 1: Counter()}
     for text, y in texts:
         seen[y].update(set(alnum_words(text)))
-    n = [sum(y == k for _, y in texts) for k in (0, 1)]
-    known = {w for w, c in seen[1].items() if len(w) >= 3 and surprise(c, seen[0][w], n[1], n[0]) >= SURPRISE}
+    n = [max(1, sum(y == k for _, y in texts)) for k in (0, 1)]
+    known = {w for w, c in seen[1].items() if len(w) >= SHORTEST and surprise(c, seen[0][w], n[1], n[0]) >= SURPRISE}
     order = lambda counts: sorted(counts, key=lambda w: (-counts[w], w))
-    toxic = dictionary(order({w: seen[1][w] for w in known}))
-    ordinary = dictionary([w for w in order(seen[0]) if w not in known])
-    gains = Gains(toxic, ordinary)
-    x, y = np.array([gains.features(text) for _, text, _ in parts[1]]), np.array([r[2] for r in parts[1]], float)
-    weights, bias = logistic(x, y)
-    return Model(toxic, ordinary, tuple(weights.tolist()), bias)
+    return dictionary(order({w: seen[1][w] for w in known})), dictionary([w for w in order(seen[0]) if w not in known])
+
+
+def fit(sample: list[tuple[int, bytes, int]], folds: int = 4) -> Model:
+    """Dictionaries of the whole sample; calibration on features that each fold gets from the other folds' dictionaries.
+
+    With one label alone there is nothing to compare: every text gets that label's smoothed rate.
+    """
+    parts = [[r for r in sample if zlib.crc32(b"fold %d" % r[0]) % folds == k] for k in range(folds)]
+    if any({r[2] for p in parts if p is not part for r in p} != {0, 1} for part in parts):
+        rate = (sum(r[2] for r in sample) + 1) / (len(sample) + 2)
+        return Model(b"", b"", (0.0,) * 5, float(np.log(rate / (1 - rate))))
+    x, y = [], []
+    for part in parts:
+        gains = Gains(*dictionaries([r for p in parts if p is not part for r in p]))
+        x += [gains.features(text) for _, text, _ in part]
+        y += [r[2] for r in part]
+    weights, bias = logistic(np.array(x), np.array(y, float))
+    return Model(*dictionaries(sample), tuple(weights.tolist()), bias)
 
 
 _GAINS: dict[tuple[bytes, bytes], Gains] = {}
