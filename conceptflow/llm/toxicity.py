@@ -41,6 +41,8 @@ THRESHOLD = 0.3
 SHORTEST = 4
 #: Least log-likelihood ratio of a window for the toxic dictionary.
 SURPRISE = 40.0
+#: Bytes by which a window may exceed an empty frame under the toxic dictionary and still be near to it.
+SLACK = 1
 #: Gain per byte that is clear.
 CLEAR = 0.55
 #: Distinct windows whose lengths a worker keeps.
@@ -78,6 +80,7 @@ class Gains:
             write_dict_id=False,
         )
         self.toxic, self.ordinary, self.known = make(toxic), make(ordinary), {}
+        self.least = len(self.toxic.compress(FRAME + FRAME))
 
     def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
@@ -87,7 +90,8 @@ class Gains:
             fresh = set(words)
         for word in fresh:
             framed = FRAME + word + FRAME
-            known[word] = 0.0 if len(word) < SHORTEST else (len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))) / len(word)
+            near = len(self.toxic.compress(framed))
+            known[word] = 0.0 if len(word) < SHORTEST or near > self.least + SLACK else (len(self.ordinary.compress(framed)) - near) / len(word)
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def features(self, text: bytes | None) -> list[float]:
