@@ -58,7 +58,7 @@ def knowtator(spark: SparkSession, path: str) -> DataFrame:
     notes = spark.read.format("xml").option("rowTag", "annotation").schema("mention struct<_id: string>, span array<struct<_start: int, _end: int>>, spannedText string").load(path)
     classes = spark.read.format("xml").option("rowTag", "classMention").schema("_id string, mentionClass struct<_id: string, _VALUE: string>").load(path)
     notes = notes.where(F.size("span") == 1).select(F.col("mention._id").alias("id"), F.col("span")[0]["_start"].alias("start"), F.col("span")[0]["_end"].alias("stop"), F.col("spannedText").alias("text"))
-    return notes.join(classes.select(F.col("_id").alias("id"), F.col("mentionClass._id").alias("iri")), "id")
+    return notes.join(classes.select(F.col("_id").alias("id"), F.col("mentionClass._id").alias("iri")), "id").select("id", "iri", "start", "stop", "text")
 
 
 def webanno(spark: SparkSession, path: str) -> DataFrame:
