@@ -97,7 +97,7 @@ def test_patterns(spark):
 
 
 def test_chunking_keeps_tables_with_captions():
-    assert folds.chunk_rows(["paragraph", "caption", "table", "paragraph"], [50, 10, 60, 10], 80, 100) == [0, 1, 1, 2]
+    assert folds.chunk_rows(["paragraph", "caption", "table", "paragraph"], [50, 10, 60, 10], 80, 100) == [0, 1, 1, 1]
     assert folds.chunk_rows(["table", "caption", "paragraph"], [70, 20, 5], 80, 100) == [0, 0, 1]
     assert folds.chunk_rows([], [], 10, 20) == []
 
