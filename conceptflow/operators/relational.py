@@ -78,10 +78,16 @@ def sample_per(rows: DataFrame, by: list[str], n: int, key: Column, seed: int) -
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(draw, key))).where(F.col("_n") <= n).drop("_n")
 
 
-def presence(phrases: list[tuple[str, str]], docs: DataFrame) -> DataFrame:
-    """(iri, occurrences, documents) of phrase patterns (iri, regex) in all texts; the list is a parameter, not a table."""
-    lowered = F.lower(F.coalesce("text", F.lit("")))
-    counts = docs.select(F.array(*[F.regexp_count(lowered, F.lit(p)) for _, p in phrases]).alias("n"))
-    exploded = counts.select(F.posexplode("n").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("occurrences"), F.count_if(F.col("n") > 0).alias("documents"))
-    names = F.element_at(F.array(*[F.lit(i) for i, _ in phrases]), F.col("k") + 1)
-    return exploded.select(names.alias("iri"), "occurrences", "documents")
+def presence(phrases: list[tuple[str, str, str]], docs: DataFrame) -> DataFrame:
+    """(iri, occurrences, documents) of phrases (iri, words joined by one space, regex) in all texts.
+
+    The list is a parameter, not a table. A phrase's regex only runs on texts that
+    contain its words, which a byte search tells.
+    """
+    texts = docs.select(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ").alias("t"))
+    one = lambda words, pattern: F.when(F.contains("t", F.lit(words)), F.regexp_count("t", F.lit(pattern))).otherwise(0)
+    counts = texts.select(F.array(*[one(words, pattern) for _, words, pattern in phrases]).alias("n"))
+    exploded = counts.select(F.posexplode("n").alias("k", "n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+    names = docs.sparkSession.createDataFrame([(k, iri) for k, (iri, _, _) in enumerate(phrases)], "k int, iri string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return names.join(exploded, "k", "left").select("iri", zero("occurrences"), zero("documents"))

@@ -261,7 +261,7 @@ c AS (SELECT iri, len(regexp_extract_all(lower(coalesce(text, '')), pattern)) AS
 SELECT iri, CAST(sum(n) AS BIGINT) AS occurrences, count(*) FILTER (n > 0) AS documents FROM c GROUP BY iri""")
 def phrase_presence(t: Tables) -> DataFrame:
     first = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), 1, 3), " ")
-    phrases = t.benchmark.select(F.concat(F.lit("item/"), F.col("item_id").cast("string")), tx.phrase_pattern(first)).collect()
+    phrases = t.benchmark.select(F.concat(F.lit("item/"), F.col("item_id").cast("string")), first, tx.phrase_pattern(first)).collect()
     return relational.presence([tuple(r) for r in phrases], t.documents)
 
 
