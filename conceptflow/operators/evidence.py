@@ -57,7 +57,7 @@ def reload(candidates: DataFrame, done: DataFrame, strategy: str, share: float,
 
 
 def hold_out(classes: DataFrame, share: float, seed: int) -> DataFrame:
-    """(iri) of the withheld classes: a seeded ``share``, at least one and never all; the inventory is small enough to rank."""
+    """(iri) of the withheld classes: a seeded ``share``, at least one, and one of several stays; the inventory is small enough to rank."""
     order = Window.partitionBy(F.lit(1)).orderBy(_draw(seed, F.col("iri")), "iri")
     rows = classes.select("iri").distinct().withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
     take = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * share).cast("bigint")))

@@ -11,7 +11,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["typing_zones", "review_sync", "hierarchy_closure", "semantic_diff", "minted_iris", "page_classes", "threshold_sweep", "user_sessions"])
+@pytest.mark.parametrize("name", [
+    "typing_zones", "review_sync", "hierarchy_closure", "semantic_diff", "minted_iris", "page_classes", "threshold_sweep", "user_sessions",
+    "ontoclean_violations", "pitfalls", "class_targets", "version_history", "settled_branches", "conflict_findings", "reading_order", "definitional_passages",
+    "reload_choice", "training_examples",
+])
 def test_twin(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
