@@ -49,3 +49,8 @@ def report(units: DataFrame) -> DataFrame:
         F.sum(F.coalesce("in_tokens", F.lit(0))).alias("in_tokens"),
         F.sum(F.coalesce("out_tokens", F.lit(0))).alias("out_tokens"),
     )
+
+
+def barrier(units: DataFrame) -> DataFrame:
+    """(stage, clear): no unit of the stage is pending or running."""
+    return units.groupBy("stage").agg((F.count_if(F.col("status").isin("pending", "running")) == 0).alias("clear"))

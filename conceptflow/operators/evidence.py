@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptflow.functions import text as tx
 from conceptflow.operators import state
 
 
@@ -34,34 +35,43 @@ def circular(typings: DataFrame, mentions: DataFrame, contributions: DataFrame)
     return own.join(contributions.select("iri", "document_id"), ["iri", "document_id"], "left_semi").dropDuplicates(["mention_id"]).select("mention_id", "iri", "document_id")
 
 
-def reload(candidates: DataFrame, done: DataFrame, strategy: str, share: float, seed: int) -> DataFrame:
-    """(document_id, process): documents not processed before always; others all, none, or a seeded ``share`` (strategy ``sample``).
+def _share(rows: DataFrame, key: str, share: float, seed: int, clamp: bool = False) -> DataFrame:
+    """``rows`` (one for each key) with ``_in``: a seeded share of exact size; ``clamp``: one at least, and one of several stays out.
 
-    The sample's size is exact: hashes order the rows within 4,096 ranges of
-    hashes, and only the ranges' counts are summed in one place.
+    Hashes order the rows within 4,096 ranges of hashes, and only the ranges' counts meet in one place.
     """
-    if strategy not in ("all", "none", "sample"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    seen = done.select("document_id", F.lit(True).alias("_seen")).distinct()
-    rows = candidates.select("document_id").distinct().join(seen, "document_id", "left")
-    if strategy != "sample":
-        return rows.select("document_id", (F.col("_seen").isNull() | F.lit(strategy == "all")).alias("process"))
-    drawn = rows.withColumn("_draw", F.when(F.col("_seen"), _draw(seed, F.col("document_id")))).withColumn("_range", F.substring("_draw", 1, 3))
+    drawn = rows.withColumn("_draw", _draw(seed, F.col(key))).withColumn("_range", F.substring("_draw", 1, 3))
     before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = drawn.where("_range is not null").groupBy("_range").agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    ranges = ranges.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), F.bround(whole * share).alias("_take"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("_draw", "document_id"))
-    old = drawn.where("_seen").withColumn("_n", place).join(ranges, "_range").select("document_id", (F.col("_base") + F.col("_n") <= F.col("_take")).alias("process"))
-    return drawn.where("_seen is null").select("document_id", F.lit(True).alias("process")).unionByName(old)
+    take = F.bround(whole * share)
+    if clamp:
+        take = F.greatest(F.lit(1), F.least(whole - 1, take))
+    ranges = drawn.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), take.alias("_take"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_draw", key))
+    placed = drawn.withColumn("_n", place).join(ranges, "_range")
+    return placed.withColumn("_in", F.col("_base") + F.col("_n") <= F.col("_take")).drop("_draw", "_range", "_n", "_base", "_take")
+
+
+def reload(candidates: DataFrame, done: DataFrame, strategy: str, share: float, seed: int) -> DataFrame:
+    """(document_id, process): documents not processed before always; others all, none, or a seeded ``share`` (strategy ``sample``)."""
+    if strategy not in ("all", "none", "sample"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    ids, seen = candidates.select("document_id").distinct(), done.select("document_id").distinct()
+    new = ids.join(seen, "document_id", "left_anti").select("document_id", F.lit(True).alias("process"))
+    old = ids.join(seen, "document_id", "left_semi")
+    if strategy == "sample":
+        return new.unionByName(_share(old, "document_id", share, seed).select("document_id", F.col("_in").alias("process")))
+    return new.unionByName(old.select("document_id", F.lit(strategy == "all").alias("process")))
 
 
 def hold_out(classes: DataFrame, share: float, seed: int) -> DataFrame:
-    """(iri) of the withheld classes: a seeded ``share``, at least one, and one of several stays; the inventory is small enough to rank."""
-    order = Window.partitionBy(F.lit(1)).orderBy(_draw(seed, F.col("iri")), "iri")
-    rows = classes.select("iri").distinct().withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    take = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * share).cast("bigint")))
-    return rows.where(F.col("_k") <= take).select("iri")
+    """(iri) of the withheld classes: a seeded ``share``, at least one, and one of several stays."""
+    return _share(classes.select("iri").distinct(), "iri", share, seed, clamp=True).where("_in").select("iri")
+
+
+def split_documents(documents: DataFrame, share: float, seed: int) -> DataFrame:
+    """(document_id, held_out): a seeded ``share`` of the documents held out, neither side empty where there are several."""
+    return _share(documents.select("document_id").distinct(), "document_id", share, seed, clamp=True).select("document_id", F.col("_in").alias("held_out"))
 
 
 def examples(gold: DataFrame, pool: DataFrame, negatives: int, seed: int) -> DataFrame:
@@ -103,3 +113,32 @@ def verdicts(derived: DataFrame, declared: DataFrame, score: Column, threshold:
     rows = derived.join(declared, "iri").withColumn("_s", score)
     best = rows.groupBy("iri").agg(F.max(F.col("_s")).alias("similarity"), F.min(F.struct((-F.col("_s")).alias("s"), "label")).alias("m"))
     return best.select("iri", F.col("m.label").alias("label"), "similarity", (F.col("similarity") >= threshold).alias("agrees"))
+
+
+def abbreviations(lexicon: DataFrame) -> DataFrame:
+    """(lang, token, suggestion): rare tokens of three to six letters that keep the order and first letter of a word longer by three or more.
+
+    ``lexicon``: (lang, token, n). The smallest such word is suggested.
+    """
+    key = F.substring("token", 1, 1).alias("_first")
+    short = lexicon.where("length(token) between 3 and 6 and n <= 1").select("lang", "token", key)
+    long = lexicon.where("length(token) >= 6").select("lang", F.col("token").alias("word"), key)
+    near = short.join(long, ["lang", "_first"]).where("length(word) >= length(token) + 3")
+    return near.where(tx.is_subsequence(F.col("token"), F.col("word"))).groupBy("lang", "token").agg(F.min("word").alias("suggestion"))
+
+
+def verified_names(answers: DataFrame, passages: DataFrame, known: DataFrame) -> DataFrame:
+    """(iri, name, kept) of proposed names that no class has yet; kept where a passage of the class holds the words.
+
+    ``answers``: (iri, name); ``passages``: (iri, text); ``known``: (name).
+    """
+    lower = F.lower("name")
+    new = answers.select("iri", "name").distinct().withColumn("_key", lower).join(known.select(lower.alias("_key")), "_key", "left_anti")
+    held = tx.has_phrase(F.lower("text"), F.col("_key"))
+    return new.join(passages.select("iri", "text"), "iri", "left").groupBy("iri", "name").agg(F.bool_or(F.coalesce(held, F.lit(False))).alias("kept"))
+
+
+def delta(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(cq_id, change): questions that newly pass or fail against the evaluation before; new questions count as failed before."""
+    both = now.join(before.select("cq_id", F.col("passed").alias("_was")), "cq_id", "left").withColumn("_was", F.coalesce("_was", F.lit(False)))
+    return both.where("passed <> _was").select("cq_id", F.when(F.col("passed"), "passing").otherwise("failing").alias("change"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptflow.operators import graph
+from conceptflow.operators.state import prefer
 
 # Fixed values: (metaproperty, value of the parent, value of the child) that must not meet in a subsumption.
 CONSTRAINTS = [("rigidity", "~R", "+R"), ("identity", "-I", "+I"), ("unity", "~U", "+U"), ("dependence", "+D", "-D")]
@@ -155,3 +156,27 @@ def cited(axioms: DataFrame, support: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): an axiom of textual provenance needs a mention that it rests on; the others need none."""
     bare = F.coalesce((F.col("provenance") == "textual") & (F.coalesce(F.size(support), F.lit(0)) < 1), F.lit(False))
     return axioms.where(~bare), axioms.where(bare)
+
+
+def latest(versions: DataFrame) -> DataFrame:
+    """The newest version of each session: by created_at, then seq."""
+    return prefer(versions, ["session_id"], [F.desc("created_at"), F.desc("seq")])
+
+
+def recurrences(versions: DataFrame) -> DataFrame:
+    """(version_id, earlier): versions whose hash stood before in their session, and the oldest with it; ``versions`` has seq."""
+    first = versions.groupBy("session_id", "hash").agg(F.min_by("version_id", "seq").alias("earlier"), F.min("seq").alias("_seq"))
+    return versions.join(first, ["session_id", "hash"]).where("seq > _seq").select("version_id", "earlier")
+
+
+def gloss_contexts(triples: DataFrame) -> DataFrame:
+    """(iri, relation, other): parents, children and disjoint classes of the named classes without a definition; alone: one row with nulls."""
+    p = F.col("p")
+    classes = triples.where((p == "rdf:type") & (F.col("o") == "owl:Class") & ~F.col("s").startswith("_:")).select(F.col("s").alias("iri")).distinct()
+    bare = classes.join(triples.where(p.isin(*DEFINITIONS)).select(F.col("s").alias("iri")), "iri", "left_anti")
+    links = triples.where(p.isin("rdfs:subClassOf", "owl:disjointWith"))
+    both = F.array(
+        F.struct(F.col("s").alias("iri"), F.when(p == "rdfs:subClassOf", "parent").otherwise("disjoint").alias("relation"), F.col("o").alias("other")),
+        F.struct(F.col("o").alias("iri"), F.when(p == "rdfs:subClassOf", "child").otherwise("disjoint").alias("relation"), F.col("s").alias("other")),
+    )
+    return bare.join(links.select(F.explode(both).alias("x")).select("x.*").distinct(), "iri", "left").select("iri", "relation", "other")

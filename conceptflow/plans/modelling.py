@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from conceptflow import ledger
 from conceptflow.functions import text as tx
 from conceptflow.operators import decisions, evidence, layout, modelling
 from conceptflow.plans.catalog import Tables, query
@@ -374,3 +375,71 @@ def label_languages(t: Tables) -> DataFrame:
     is_ = lambda n, value: F.when(F.col("o_orderkey") % n == 0, value)
     text = F.when(F.col("o_custkey") % 2 == 0, "medición").otherwise("measure")
     return t.orders.select("o_orderkey", tx.language_of(is_(5, "fr"), is_(3, "(es_MX)"), is_(2, "de"), text).alias("lang"))
+
+
+# --- versions, ledger, vocabulary --------------------------------------------
+
+
+@query("SELECT o_custkey AS session_id, o_orderkey AS version_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_versions(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("seq"))
+    return modelling.latest(rows).select("session_id", "version_id")
+
+
+@query("SELECT * FROM (SELECT o_orderkey AS version_id, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS earlier FROM orders) WHERE version_id > earlier")
+def version_recurrences(t: Tables) -> DataFrame:
+    return modelling.recurrences(t.orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("version_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("hash")))
+
+
+@query("""WITH b AS (SELECT 'n/' || n_nationkey AS iri, n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey % 3 <> 0)
+SELECT iri, 'parent' AS relation, 'r/' || r AS other FROM b WHERE k % 7 <> 0 UNION ALL SELECT iri, 'child', 's/' || s_suppkey FROM b JOIN supplier ON s_nationkey = k UNION ALL SELECT iri, 'disjoint', 'n/0' FROM b WHERE k % 5 = 0
+UNION ALL SELECT iri, NULL, NULL FROM b WHERE k % 7 = 0 AND k % 5 > 0 AND k NOT IN (SELECT s_nationkey FROM supplier)""")
+def gloss_contexts(t: Tables) -> DataFrame:
+    own = _iri("n", "n_nationkey")
+    nations = _facts(t.nation, own, [
+        ("rdf:type", "true", F.lit("owl:Class")), ("skos:definition", "n_nationkey % 3 = 0", F.col("n_name")), ("rdfs:subClassOf", "n_nationkey % 7 <> 0", _iri("r", "n_regionkey")),
+        ("owl:disjointWith", "n_nationkey % 5 = 0 and n_nationkey > 0", F.lit("n/0")),
+    ])
+    return modelling.gloss_contexts(nations.unionByName(_facts(t.supplier, _iri("s", "s_suppkey"), [("rdfs:subClassOf", "true", _iri("n", "s_nationkey"))])))
+
+
+@query("SELECT event_type AS stage, count(*) FILTER (event_id % 13 = 0 AND event_type <> 'click') = 0 AS clear FROM events GROUP BY 1")
+def stage_barrier(t: Tables) -> DataFrame:
+    waits = (F.col("event_id") % 13 == 0) & (F.col("event_type") != "click")
+    return ledger.barrier(t.events.select(F.col("event_type").alias("stage"), F.when(waits, "pending").otherwise("done").alias("status")))
+
+
+_LEXICON = "x AS (SELECT lower(replace(n_name, ' ', '')) AS w FROM nation), l AS (SELECT w AS token, 5 AS n FROM x UNION SELECT w[1] || w[3] || w[5], 1 FROM x)"
+
+
+@query(f"""WITH {_LEXICON} SELECT 'en' AS lang, s.token, min(g.token) AS suggestion FROM l s JOIN l g ON s.token[1] = g.token[1] AND s.n = 1 AND length(s.token) BETWEEN 3 AND 6 AND length(g.token) >= length(s.token) + 3
+WHERE regexp_matches(g.token, '^.*' || s.token[1] || '.*' || s.token[2] || '.*' || s.token[3]) GROUP BY s.token""")
+def truncated_abbreviations(t: Tables) -> DataFrame:
+    word = F.lower(F.replace("n_name", F.lit(" "), F.lit("")))
+    long = t.nation.select(word.alias("token"), F.lit(5).alias("n"))
+    short = t.nation.select(F.concat(F.substring(word, 1, 1), F.substring(word, 3, 1), F.substring(word, 5, 1)).alias("token"), F.lit(1).alias("n"))
+    return evidence.abbreviations(long.union(short).distinct().withColumn("lang", F.lit("en")))
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY sha1('11:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id AS document_id, k <= greatest(1, least(n - 1, round_even(n * 0.2, 0))) AS held_out FROM o""")
+def document_split(t: Tables) -> DataFrame:
+    return evidence.split_documents(t.documents.select(F.col("doc_id").alias("document_id")), 0.2, 11)
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand AS iri, p_name AS name FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 50 = 0)), g AS (SELECT DISTINCT p_brand AS iri, lower(p_name) AS text FROM part WHERE p_partkey % 3 = 0)
+SELECT iri, name, coalesce(bool_or(contains(text, lower(name))), false) AS kept FROM a LEFT JOIN g USING (iri) GROUP BY ALL""")
+def verified_names(t: Tables) -> DataFrame:
+    passages = t.part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("iri"), F.concat(F.lit("The "), F.replace("p_name", F.lit(" "), F.lit("\n ")), F.lit(".")).alias("text"))
+    return evidence.verified_names(t.part.select(F.col("p_brand").alias("iri"), F.col("p_name").alias("name")), passages, t.part.where("p_partkey % 50 = 0").select(F.col("p_name").alias("name")))
+
+
+@query("SELECT o_orderkey AS cq_id, CASE WHEN o_orderkey % 2 = 0 THEN 'passing' ELSE 'failing' END AS change FROM orders WHERE (o_orderkey % 2 = 0) <> (o_orderkey % 3 = 0 AND o_orderkey % 5 > 0)")
+def question_delta(t: Tables) -> DataFrame:
+    row = lambda test: F.expr(test).alias("passed")
+    key = F.col("o_orderkey").alias("cq_id")
+    return evidence.delta(t.orders.select(key, row("o_orderkey % 2 = 0")), t.orders.where("o_orderkey % 5 > 0").select(key, row("o_orderkey % 3 = 0")))
+
+
+@query("SELECT left(list_min(string_split_regex(lower(p_name), '[^a-z0-9]+')), 4) AS key, count(*) AS n FROM part GROUP BY 1")
+def surface_blocks(t: Tables) -> DataFrame:
+    return t.part.groupBy(tx.block_key(F.col("p_name")).alias("key")).agg(F.count("*").alias("n"))

@@ -111,3 +111,20 @@ def test_text_scalars(spark):
     assert one(tx.sentence_around(F.lit("One. Two b c! Three"), F.lit(9), F.lit(10)), tx.sentence_around(F.lit("word " * 300), F.lit(700), F.lit(704), 10)) == ("Two b c!", "word word word word word"[:24].strip())
     assert one(tx.odd_capitals(F.lit("TIene")), tx.odd_capitals(F.lit("fooBar")), tx.odd_capitals(F.lit("USA"))) == ("Tiene", None, None)
     assert one(tx.outer_json(F.lit('x {"a": 1} y')), tx.outer_json(F.lit("none")), tx.outer_json(F.lit(None).cast("string"))) == ('{"a": 1}', None, None)
+
+
+def test_abbreviations_keep_order_and_first_letter(spark):
+    lexicon = spark.createDataFrame([("en", "frm", 1), ("en", "framework", 4), ("en", "farmland", 1), ("en", "mrf", 1), ("es", "frm", 1), ("en", "fr", 1)], "lang string, token string, n int")
+    assert rows(evidence.abbreviations(lexicon)) == [("en", "frm", "farmland")]
+
+
+def test_verified_names_need_their_words_in_a_passage(spark):
+    answers = spark.createDataFrame([("a", "Ion Trap"), ("a", "known"), ("a", "?"), ("b", "ion trap")], "iri string, name string")
+    passages = spark.createDataFrame([("a", "an ION\n trap"), ("a", None)], "iri string, text string")
+    assert rows(evidence.verified_names(answers, passages, spark.createDataFrame([("KNOWN",)], "name string"))) == [("a", "?", False), ("a", "Ion Trap", True), ("b", "ion trap", False)]
+
+
+def test_split_documents_leaves_neither_side_empty(spark):
+    for n, held in ((0, 0), (1, 1), (2, 1), (10, 9)):
+        ids = spark.range(n).withColumnRenamed("id", "document_id")
+        assert evidence.split_documents(ids, 1.0, 1).where("held_out").count() == held
