@@ -256,8 +256,9 @@ def strata_sample(t: Tables) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')[1:3] AS w FROM benchmark),
-q AS (SELECT 'item/' || item_id AS iri, '(?:^|[^\p{L}\p{N}_])' || array_to_string(w, '\s+') || '(?:$|[^\p{L}\p{N}_])' AS pattern FROM p),
-c AS (SELECT iri, len(regexp_extract_all(lower(coalesce(text, '')), pattern)) AS n FROM q, documents)
+q AS (SELECT 'item/' || item_id AS iri, w, '(?:^|[^\p{L}\p{N}_])' || array_to_string(w, '\s+') || '(?:$|[^\p{L}\p{N}_])' AS pattern FROM p),
+t AS MATERIALIZED (SELECT lower(coalesce(text, '')) AS t FROM documents),
+c AS (SELECT iri, CASE WHEN contains(t, coalesce(w[1], '')) AND contains(t, coalesce(w[2], '')) AND contains(t, coalesce(w[3], '')) THEN len(regexp_extract_all(t, pattern)) ELSE 0 END AS n FROM q, t)
 SELECT iri, CAST(sum(n) AS BIGINT) AS occurrences, count(*) FILTER (n > 0) AS documents FROM c GROUP BY iri""")
 def phrase_presence(t: Tables) -> DataFrame:
     first = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), 1, 3), " ")
