@@ -61,19 +61,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(sample: list[tuple[int, bytes, int]], rounds: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> Model:
+def fit(sample: list[tuple], rounds: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> Model:
     """Weights and thresholds by full-batch AdaGrad; grades are 0, 1, ..., and unrated ones between are allowed.
 
+    Rows are (doc_id, text, grade) and optionally a weight, 1 if there is none.
     With one grade or none there is nothing to learn: every text gets that grade.
     """
-    top = max((y for _, _, y in sample), default=0)
-    if len({y for _, _, y in sample}) < 2:
+    top = max((r[2] for r in sample), default=0)
+    if len({r[2] for r in sample}) < 2:
         return Model(np.zeros(BUCKETS), np.full(top, -50.0))
-    found = [features(text) for _, text, _ in sample]
+    found = [features(r[1]) for r in sample]
     rows = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
     at, value = (np.concatenate(x) for x in zip(*found, strict=True))
-    y, n = np.array([y for _, _, y in sample]), len(sample)
-    above = np.array([(y >= k).mean() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
+    y, n = np.array([r[2] for r in sample]), len(sample)
+    each = np.array([r[3] if len(r) > 3 else 1.0 for r in sample])
+    each /= each.sum()
+    above = np.array([each[y >= k].sum() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
     t = np.log((1 - above) / above)
     w, past_w, past_t = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), np.full(top, 1e-8)
     for _ in range(rounds):
@@ -81,9 +84,9 @@ def fit(sample: list[tuple[int, bytes, int]], rounds: int = 300, rate: float = 0
         tail = np.column_stack([np.ones(n), _sigmoid(z[:, None] - t), np.zeros(n)])
         p = (tail[np.arange(n), y] - tail[np.arange(n), y + 1]).clip(1e-9)
         slope = tail * (1 - tail)
-        low, high = slope[np.arange(n), y] / p, slope[np.arange(n), y + 1] / p
-        gz = (high - low) / n
-        gt = np.array([low[y == k].sum() - high[y == k - 1].sum() for k in range(1, top + 1)]) / n
+        low, high = each * slope[np.arange(n), y] / p, each * slope[np.arange(n), y + 1] / p
+        gz = high - low
+        gt = np.array([low[y == k].sum() - high[y == k - 1].sum() for k in range(1, top + 1)])
         gw = np.bincount(at, gz[rows] * value, BUCKETS) + ridge * w
         past_w += gw**2
         past_t += gt**2

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int, where: Column | None = None) -> list[tuple[int, bytes, int]]:
-    """(doc_id, text, label), ``rows`` at most for each label and ``text_bytes`` of each text.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int, where: Column | None = None) -> list[tuple[int, bytes, int, float]]:
+    """(doc_id, text, label, weight), ``rows`` at most for each label and ``text_bytes`` of each text.
 
-    Which rows is decided by a hash of the id, so a run repeats itself. Ids and
-    labels that are null, and ids with several labels, are left out.
+    A row's weight is the number of rated rows of its label over that of sampled
+    ones, so weighted shares of labels are those of the whole table. Which rows
+    is decided by a hash of the id, so a run repeats itself. Ids and labels that
+    are null, and ids with several labels, are left out.
     """
     rated = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     rated = rated.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     if where is not None:
         rated = rated.where(where)
-    grades = sorted(r["y"] for r in rated.select("y").distinct().limit(100).collect())
-    chosen = [rated.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in grades]
+    counts = {r["y"]: r["count"] for r in rated.groupBy("y").count().orderBy("y").limit(100).collect()}
+    chosen = [rated.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in counts]
     if not chosen:
         return []
     ids = chosen[0]
@@ -25,4 +27,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_byt
         ids = ids.unionAll(more)
     texts = docs.select("doc_id", F.substring(F.col("text").cast("binary"), 1, text_bytes).alias("text"))
     found = texts.join(F.broadcast(ids), "doc_id").collect()  # rows x grades x text_bytes at most, but for repeated rows of documents
-    return sorted({r["doc_id"]: (r["doc_id"], bytes(r["text"] or b""), r["y"]) for r in found}.values())
+    weight = {y: n / min(n, rows) for y, n in counts.items()}
+    return sorted({r["doc_id"]: (r["doc_id"], bytes(r["text"] or b""), r["y"], weight[r["y"]]) for r in found}.values())

@@ -114,23 +114,23 @@ def surprise(a: int, b: int, n: int, m: int) -> float:
     return 2 * (term(a, n * share) + term(b, m * share) + term(n - a, n * (1 - share)) + term(m - b, m * (1 - share)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's method; ``each`` weighs the rows, 1 on average."""
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.array([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        h = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, x.T @ (each * (p - y)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w[:-1], float(w[-1])
 
 
-def dictionaries(sample: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
+def dictionaries(sample: list[tuple]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) from labelled texts; a text that many copies repeat counts once."""
-    texts = {(text, y) for _, text, y in sample}
+    texts = {(r[1], r[2]) for r in sample}
     seen: dict[int, Counter[bytes]] = {0: Counter(), 1: Counter()}
     for text, y in texts:
         seen[y].update(set(alnum_words(text)))
@@ -140,21 +140,24 @@ def dictionaries(sample: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
     return dictionary(order({w: seen[1][w] for w in known})), dictionary([w for w in order(seen[0]) if w not in known])
 
 
-def fit(sample: list[tuple[int, bytes, int]], folds: int = 4) -> Model:
+def fit(sample: list[tuple], folds: int = 4) -> Model:
     """Dictionaries of the whole sample; calibration on features that each fold gets from the other folds' dictionaries.
 
+    Rows are (doc_id, text, label) and optionally a weight, 1 if there is none.
     With one label alone there is nothing to compare: every text gets that label's smoothed rate.
     """
+    weight = lambda r: r[3] if len(r) > 3 else 1.0
     parts = [[r for r in sample if zlib.crc32(b"fold %d" % r[0]) % folds == k] for k in range(folds)]
     if any({r[2] for p in parts if p is not part for r in p} != {0, 1} for part in parts):
-        rate = (sum(r[2] for r in sample) + 1) / (len(sample) + 2)
+        rate = (sum(r[2] * weight(r) for r in sample) + 1) / (sum(map(weight, sample)) + 2)
         return Model(b"", b"", (0.0,) * 5, float(np.log(rate / (1 - rate))))
-    x, y = [], []
+    x, y, each = [], [], []
     for part in parts:
         gains = Gains(*dictionaries([r for p in parts if p is not part for r in p]))
-        x += [gains.features(text) for _, text, _ in part]
+        x += [gains.features(r[1]) for r in part]
         y += [r[2] for r in part]
-    weights, bias = logistic(np.array(x), np.array(y, float))
+        each += map(weight, part)
+    weights, bias = logistic(np.array(x), np.array(y, float), np.array(each) / np.mean(each))
     return Model(*dictionaries(sample), tuple(weights.tolist()), bias)
 
 

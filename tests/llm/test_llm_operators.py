@@ -334,3 +334,19 @@ def test_toxicity_with_one_label(docs):
 def test_digests():
     assert substrings.digest([b"a", b"b"]) == hashlib.sha256(b"a b").hexdigest()
     assert decontaminate.digest(["10", "2"]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+def labelled_folder(spark, folder, rows):
+    """``rows``: (text, quality, toxic)."""
+    spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, q, x) for i, (_, q, x) in enumerate(rows)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_capped_samples_keep_the_share_of_labels(spark, tmp_path, monkeypatch):
+    # Texts say nothing, so a score is the share of its label in the whole table.
+    d = labelled_folder(spark, tmp_path, [("same words %s" % "abc"[i % 3], int(i % 10 != 0), int(i % 10 == 0)) for i in range(1000)])
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 80)
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
+    assert all(r["tail_probability"] > 0.8 for r in quality.op3_quality(spark, d).collect())
+    assert all(0.05 < r["score"] < 0.15 for r in toxicity.op5_toxicity(spark, d).collect())
