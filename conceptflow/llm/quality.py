@@ -5,8 +5,8 @@ thresholds cut its value into grades: P(grade >= k) = s(w.x - t[k]). Expected
 grade and tail probability follow, and selection is by the tail. Features are
 hashed words, hashed word shapes (letters as a or A, digits as 0, marks as they
 are) and a few hashed facts of the whole text; weights of a text are square
-roots of counts, scaled to length 1. The fit runs on the driver over a bounded
-sample of rated rows; scoring reads whole texts.
+roots of counts, scaled to length 1. The fit runs on the driver over the features
+of a bounded sample of rated rows; fit and scoring read whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from conceptflow.llm.samples import labelled
 from conceptflow.llm.textscan import space_words, word_hashes
 from conceptflow.session import table
 
-#: Rated rows of each grade in the fit, and the bytes used of each text.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 8192
+#: Rated rows of each grade in the fit.
+SAMPLE_ROWS = 3000
 BUCKETS = 1 << 16
 #: Least probability of the grade that is kept.
 KEEP = 0.5
@@ -57,6 +57,15 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return at, value / np.linalg.norm(value)
 
 
+def packed(text: bytes | None) -> tuple[bytes, bytes]:
+    at, value = features(text)
+    return at.astype(np.int32).tobytes(), value.tobytes()
+
+
+def unpacked(found: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(found[0], np.int32).astype(np.int64), np.frombuffer(found[1], np.float64)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
@@ -64,13 +73,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(sample: list[tuple], rounds: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> Model:
     """Weights and thresholds by full-batch AdaGrad; grades are 0, 1, ..., and unrated ones between are allowed.
 
-    Rows are (doc_id, text, grade) and optionally a weight, 1 if there is none.
+    Rows are (doc_id, text or its packed features, grade) and optionally a weight, 1 if there is none.
     With one grade or none there is nothing to learn: every text gets that grade.
     """
     top = max((r[2] for r in sample), default=0)
     if len({r[2] for r in sample}) < 2:
         return Model(np.zeros(BUCKETS), np.full(top, -50.0))
-    found = [features(r[1]) for r in sample]
+    found = [unpacked(r[1]) if isinstance(r[1], tuple) else features(r[1]) for r in sample]
     rows = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
     at, value = (np.concatenate(x) for x in zip(*found, strict=True))
     y, n = np.array([r[2] for r in sample]), len(sample)
@@ -137,7 +146,7 @@ def accepted(docs: DataFrame, model: Model, grade: int = 1, least: float = KEEP)
 
 def fitted(spark: SparkSession, sf_dir: str) -> Model:
     """The model of the ratings in ``labels.quality``."""
-    return fit(labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", SAMPLE_ROWS, SAMPLE_BYTES))
+    return fit(labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", SAMPLE_ROWS, packed, "buckets binary, weights binary"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

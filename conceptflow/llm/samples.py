@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from conceptflow.llm import arrow
+
+
+def _described(describe, names: list[str]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [describe(text) for text in batch.column(1).to_pylist()]
+            values = [pa.array([f[k] for f in found], pa.binary()) for k in range(len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *values], names)
+
+    return scan
+
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, describe, fields: str, where: Column | None = None) -> list[tuple]:
+    """(doc_id, description, label, weight), ``rows`` at most for each label.
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int, where: Column | None = None) -> list[tuple[int, bytes, int, float]]:
-    """(doc_id, text, label, weight), ``rows`` at most for each label and ``text_bytes`` of each text.
+    ``describe`` turns a whole text, on the executors, into the values of
+    ``fields``; only these, as a tuple, reach the driver.
 
     A row's weight is the number of rated rows of its label over that of sampled
     ones, so weighted shares of labels are those of the whole table. Which rows
@@ -25,7 +44,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_byt
     ids = chosen[0]
     for more in chosen[1:]:
         ids = ids.unionAll(more)
-    texts = docs.select("doc_id", F.substring(F.col("text").cast("binary"), 1, text_bytes).alias("text"))
-    found = texts.join(F.broadcast(ids), "doc_id").collect()  # rows x grades x text_bytes at most, but for repeated rows of documents
+    arrow.batched(docs.sparkSession)
+    schema = f"doc_id bigint, y int, {fields}"
+    scan = arrow.steady(_described(describe, T._parse_datatype_string(schema).names))
+    texts = arrow.id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    found = texts.mapInArrow(scan, schema).collect()  # rows x grades descriptions at most, but for repeated rows of documents
     weight = {y: n / min(n, rows) for y, n in counts.items()}
-    return sorted({r["doc_id"]: (r["doc_id"], bytes(r["text"] or b""), r["y"], weight[r["y"]]) for r in found}.values())
+    return sorted({r[0]: (r[0], tuple(r[2:]), r[1], weight[r[1]]) for r in found}.values())

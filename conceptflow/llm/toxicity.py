@@ -9,13 +9,14 @@ labelled documents with dictionaries of the other folds, gives the score.
 
 Labels are of whole documents while the tell-tale part may be a few words, so
 the toxic dictionary holds the windows that recur in toxic documents and hardly
-in others. The fit uses a bounded sample of labelled rows; scoring reads whole
-texts. Lengths depend on the window alone, so each distinct one is compressed
+in others. The fit uses the window counts of a bounded sample of labelled rows;
+fit and scoring read whole texts. Lengths depend on the window alone, so each distinct one is compressed
 once in a worker, as long as its cache lasts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ from conceptflow.llm.samples import labelled
 from conceptflow.llm.textscan import alnum_words
 from conceptflow.session import table
 
-#: Labelled rows of either class in the fit, and the bytes used of each text.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 8192
+#: Labelled rows of either class in the fit.
+SAMPLE_ROWS = 3000
 DICTIONARY_BYTES, LEVEL = 1 << 16, 19
 FRAME = b"|~window~|"
 THRESHOLD = 0.3
@@ -68,6 +69,12 @@ def dictionary(windows: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     return b"".join(reversed(out))
 
 
+def counted(text: bytes | None) -> tuple[bytes, bytes, bytes]:
+    """A text's distinct windows, the count of each, and a digest of the text."""
+    counts = Counter(alnum_words(text))
+    return b" ".join(counts), np.array(list(counts.values()), np.int64).tobytes(), hashlib.sha256(text or b"").digest()
+
+
 class Gains:
     """Compression gains of windows."""
 
@@ -96,13 +103,17 @@ class Gains:
 
     def features(self, text: bytes | None) -> list[float]:
         """Largest gains per byte of distinct windows, and how much of the text gains clearly."""
-        words = alnum_words(text)
+        counts = Counter(alnum_words(text))
+        return self.described(list(counts), np.fromiter(counts.values(), np.int64, len(counts)))
+
+    def described(self, words: list[bytes], counts: np.ndarray) -> list[float]:
+        """``features`` of a text with these distinct windows."""
         if not words:
             return [0.0] * 5
         gains = self.of(words)
-        distinct = np.sort(self.of(list(set(words))))[::-1]
+        clear, distinct = int(counts[gains > CLEAR].sum()), np.sort(gains)[::-1]
         top = [float(distinct[k]) if len(distinct) > k else 0.0 for k in range(3)]
-        return [*np.maximum(top, 0.0).tolist(), float(np.log1p((gains > CLEAR).sum())), float((gains > CLEAR).mean() ** 0.5)]
+        return [*np.maximum(top, 0.0).tolist(), float(np.log1p(clear)), float((clear / counts.sum()) ** 0.5)]
 
 
 def surprise(a: int, b: int, n: int, m: int) -> float:
@@ -129,11 +140,11 @@ def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1.0,
 
 
 def dictionaries(sample: list[tuple]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) from labelled texts; a text that many copies repeat counts once."""
-    texts = {(r[1], r[2]) for r in sample}
+    """(toxic, ordinary) from labelled texts' window counts; a text that many copies repeat counts once."""
+    texts = {(r[1][2], r[2]): r[1][0] for r in sample}
     seen: dict[int, Counter[bytes]] = {0: Counter(), 1: Counter()}
-    for text, y in texts:
-        seen[y].update(set(alnum_words(text)))
+    for (_, y), windows in texts.items():
+        seen[y].update(windows.split())
     n = [max(1, sum(y == k for _, y in texts)) for k in (0, 1)]
     known = {w for w, c in seen[1].items() if len(w) >= SHORTEST and surprise(c, seen[0][w], n[1], n[0]) >= SURPRISE}
     order = lambda counts: sorted(counts, key=lambda w: (-counts[w], w))
@@ -143,9 +154,10 @@ def dictionaries(sample: list[tuple]) -> tuple[bytes, bytes]:
 def fit(sample: list[tuple], folds: int = 4) -> Model:
     """Dictionaries of the whole sample; calibration on features that each fold gets from the other folds' dictionaries.
 
-    Rows are (doc_id, text, label) and optionally a weight, 1 if there is none.
+    Rows are (doc_id, text or what ``counted`` makes of it, label) and optionally a weight, 1 if there is none.
     With one label alone there is nothing to compare: every text gets that label's smoothed rate.
     """
+    sample = [(r[0], r[1] if isinstance(r[1], tuple) else counted(r[1]), *r[2:]) for r in sample]
     weight = lambda r: r[3] if len(r) > 3 else 1.0
     parts = [[r for r in sample if zlib.crc32(b"fold %d" % r[0]) % folds == k] for k in range(folds)]
     if any({r[2] for p in parts if p is not part for r in p} != {0, 1} for part in parts):
@@ -154,7 +166,7 @@ def fit(sample: list[tuple], folds: int = 4) -> Model:
     x, y, each = [], [], []
     for part in parts:
         gains = Gains(*dictionaries([r for p in parts if p is not part for r in p]))
-        x += [gains.features(r[1]) for r in part]
+        x += [gains.described(r[1][0].split(), np.frombuffer(r[1][1], np.int64)) for r in part]
         y += [r[2] for r in part]
         each += map(weight, part)
     weights, bias = logistic(np.array(x), np.array(y, float), np.array(each) / np.mean(each))
@@ -195,7 +207,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = fit(labelled(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_BYTES, ~held_out))
+    model = fit(labelled(docs, labels, "toxic", SAMPLE_ROWS, counted, "windows binary, counts binary, digest binary", ~held_out))
     scored = scores(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -350,3 +350,11 @@ def test_capped_samples_keep_the_share_of_labels(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
     assert all(r["tail_probability"] > 0.8 for r in quality.op3_quality(spark, d).collect())
     assert all(0.05 < r["score"] < 0.15 for r in toxicity.op5_toxicity(spark, d).collect())
+
+
+def test_fits_read_whole_texts(spark, tmp_path):
+    # Labels show in the last words alone, behind more than 8192 bytes.
+    plain = "some usual words stand here " * 400
+    d = labelled_folder(spark, tmp_path, [(plain + ("vilest insults " if i % 4 == 0 else "kinder thoughts ") * 200 + str(i), int(i % 4 != 0), int(i % 4 == 0)) for i in range(240)])
+    assert all(r["keep"] == (r["doc_id"] % 4 != 0) for r in quality.op3_quality(spark, d).collect())
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in toxicity.op5_toxicity(spark, d).collect())
