@@ -2,12 +2,11 @@
 
 Templates (notices as word sequences, each with a mandatory key phrase) are
 indexed by word and place. The inverse document frequency of their words is
-counted over the whole corpus. In a text, the licence words with the highest
-IDF are looked up; each occurrence gives alignments (template, start), and the
-postings are intersected by relative position: an alignment is kept if every
-looked-up word that its key phrase has stands where it should. The key phrase is
-then verified word by word, and the IDF-weighted share of template words in
-place is the score.
+counted over the whole corpus. A template whose key words all occur in a text is
+looked up by the rarest of them; each occurrence gives an alignment (template,
+start), and the places of the other key words are intersected with it by
+relative position, rarest first. The key phrase is then verified word by word,
+and the IDF-weighted share of template words in place is the score.
 """
 
 from __future__ import annotations
@@ -54,8 +53,6 @@ TEMPLATES = (
     Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     Template("cc-by-4.0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
 )
-#: Rare words of a text that are looked up.
-RARE = 12
 
 
 class Index:
@@ -73,24 +70,29 @@ class Index:
         for n, (at, key) in enumerate(self.keys):
             for k, w in enumerate(key):
                 self.postings.setdefault(w, []).append((n, at + k))
+        self.probes = [[(w, k) for k, w in sorted(enumerate(key, at), key=lambda x: (-idf[x[1]], x))] for at, key in self.keys]
         self.base = [(phrase.encode().split(), label) for phrase, label in BASE]
         self.first = {phrase[0] for phrase, _ in self.base}
 
     def base_places(self, words: list[bytes], at: dict[bytes, list[int]]) -> list[tuple[int, str]]:
         return sorted((i, label) for phrase, label in self.base for i in at.get(phrase[0], ()) if words[i : i + len(phrase)] == phrase)
 
+    def alignments(self, words: list[bytes], at: dict[bytes, list[int]]) -> Iterator[tuple[int, int]]:
+        """(template, start) of every place where a key phrase stands."""
+        for n in {n for w in at for n, _ in self.postings.get(w, ())}:
+            starts: set[int] | None = None
+            for w, k in self.probes[n]:
+                here = at.get(w, ())
+                starts = {i - k for i in here} if starts is None else starts.intersection(i - k for i in here)
+                if not starts:
+                    break
+            place, key = self.keys[n]
+            yield from ((n, i) for i in sorted(starts or ()) if words[i + place : i + place + len(key)] == key)
+
     def matches(self, words: list[bytes], at: dict[bytes, list[int]]) -> list[tuple[str, float]]:
         """(label, share) of every verified alignment."""
-        rare = sorted((w for w in at if w in self.postings), key=lambda w: (-self.idf[w], w))[:RARE]
-        votes: Counter[tuple[int, int]] = Counter()
-        for w in rare:
-            for n, place in self.postings[w]:
-                votes.update((n, i - place) for i in at[w])
         found = []
-        for (n, start), count in votes.items():
-            place, key = self.keys[n]
-            if count < sum(1 for w in key if w in rare) or start + place < 0 or words[start + place : start + place + len(key)] != key:
-                continue
+        for n, start in self.alignments(words, at):
             notice = self.words[n]
             weight = sum(self.idf[w] for w in notice)
             here = sum(self.idf[w] for k, w in enumerate(notice) if 0 <= start + k < len(words) and words[start + k] == w)

@@ -358,3 +358,11 @@ def test_fits_read_whole_texts(spark, tmp_path):
     d = labelled_folder(spark, tmp_path, [(plain + ("vilest insults " if i % 4 == 0 else "kinder thoughts ") * 200 + str(i), int(i % 4 != 0), int(i % 4 == 0)) for i in range(240)])
     assert all(r["keep"] == (r["doc_id"] % 4 != 0) for r in quality.op3_quality(spark, d).collect())
     assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in toxicity.op5_toxicity(spark, d).collect())
+
+
+def test_licenses_of_a_text_with_every_notice(spark):
+    notices = " ".join(t.notice for t in licenses.TEMPLATES)
+    docs = spark.createDataFrame([(1, notices), *((i, "usual words") for i in range(2, 9))], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in licenses.licenses(docs).collect()}
+    assert set(found[1]["labels"]) == {t.label for t in licenses.TEMPLATES} | {label for _, label in licenses.BASE} and found[1]["score"] == pytest.approx(1)
+    assert found[2]["labels"] == []
