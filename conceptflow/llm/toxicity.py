@@ -3,9 +3,10 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
 Every window of a text (``WIDTH`` words, each ``STRIDE`` words) is compressed
 with each, in a frame that both dictionaries know; what the toxic one saves is
-the window's gain. Counts of windows above thresholds and the largest gains
+the window's gain. A window that shares no run of ``RUN`` bytes with what the
+toxic dictionary adds has nothing to gain and isn't compressed. Counts of windows above thresholds and the largest gains
 describe a document, and a logistic calibration, fitted on labelled documents
-with the dictionaries of the other folds, turns them into the score.
+that the dictionaries were not trained on, turns them into the score.
 
 Labels are of whole documents while the tell-tale part may be a few words, and
 zstandard's own trainer keeps what is frequent, which is what both classes
@@ -51,7 +52,7 @@ TRAINED_WINDOWS = 100_000
 #: Least log-likelihood ratio of a run of bytes that is worth anything.
 SURPRISE = 40.0
 #: Runs are counted under hashes of so many values.
-CELLS = 1 << 23
+CELLS = 1 << 22
 #: Gains, in bytes, whose windows are counted, and those whose share of all windows is taken.
 STEPS, SHARES = (2, 3, 4, 5, 6), (3, 4, 5)
 FEATURES = 3 + len(STEPS) + len(SHARES) + 1
@@ -75,10 +76,14 @@ def plain(text: bytes | None) -> tuple[bytes, bytes]:
     return b" ".join(alnum_words(text)), hashlib.sha256(text or b"").digest()
 
 
+def framed(words: list[bytes]) -> bytes:
+    return b"%b %b %b" % (FRAME, b" ".join(words), FRAME)
+
+
 def windows(words: list[bytes]) -> list[bytes]:
     """Framed runs of ``WIDTH`` words; one of fewer if there are fewer, none if none."""
     last = max(1, len(words) - WIDTH + STRIDE) if words else 0
-    return [b"%b %b %b" % (FRAME, b" ".join(words[i : i + WIDTH]), FRAME) for i in range(0, last, STRIDE)]
+    return [framed(words[i : i + WIDTH]) for i in range(0, last, STRIDE)]
 
 
 def runs(text: bytes) -> np.ndarray:
@@ -156,14 +161,29 @@ class Gains:
             return zstandard.ZstdCompressor(dict_data=known, compression_params=parsing)
 
         self.toxic, self.ordinary = make(ordinary + toxic).compress, make(ordinary).compress
+        self.added = np.zeros(CELLS, bool)
+        self.added[runs(toxic)] = True
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The gain of every window of the words."""
+        n = len(range(0, max(1, len(words) - WIDTH + STRIDE), STRIDE)) if words else 0
+        gains = np.zeros(n, np.int64)
+        at = np.flatnonzero(self.added[runs(b" %b " % b" ".join(words))])
+        if len(at):
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            first = np.unique(np.searchsorted(ends, at)) // STRIDE
+            near = np.unique(np.concatenate([first - k for k in range(-(-WIDTH // STRIDE))]))
+            toxic, ordinary = self.toxic, self.ordinary
+            for k in near[(near >= 0) & (near < n)].tolist():
+                window = framed(words[STRIDE * k : STRIDE * k + WIDTH])
+                gains[k] = len(ordinary(window)) - len(toxic(window))
+        return gains
 
     def features(self, words: list[bytes]) -> list[float]:
         """Largest gains, and how many windows, and which share of all, gain so much."""
-        found = windows(words)
-        if not found:
+        gains = self.of(words)
+        if not len(gains):
             return [0.0] * FEATURES
-        toxic, ordinary = self.toxic, self.ordinary
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in found])
         top = np.sort(gains)[::-1][:3].tolist()
         over = [int((gains >= q).sum()) for q in STEPS]
         shares = [(int((gains >= q).sum()) / len(gains)) ** 0.5 for q in SHARES]
@@ -198,79 +218,66 @@ def fresh(words: list[bytes], met: set[bytes]) -> bytes:
     return b" %b " % b" ".join(out)
 
 
-class Counts:
-    """In how many texts of a class and fold each run of bytes stands.
+def counted(texts: list[bytes], once: bool) -> np.ndarray:
+    """In how many texts each run of bytes stands, by cell.
 
     Copies and near copies would pass off a text's own words as its class's: a
     run of ``WIDTH`` words counts in the first text that has it. Only where
     nothing is worth anything then, ``once`` is to be False, and every text counts.
     """
-
-    def __init__(self, sample: list[tuple], folds: int, once: bool = True) -> None:
-        self.texts = {(r[1][1], r[2]): (fold_of(r[0], folds), b" %b " % r[1][0]) for r in sample}
-        self.counts = np.zeros((2, folds, CELLS), np.uint16)
-        self.sizes = np.zeros((2, folds), np.int64)
-        met: tuple[set[bytes], set[bytes]] = (set(), set())
-        for (_, y), (fold, text) in self.texts.items():
-            if once:
-                text = fresh(text.split(), met[y])
-            self.counts[y, fold, np.unique(runs(text))] += 1
-            self.sizes[y, fold] += 1
-
-    def dictionaries(self, without: int | None = None) -> tuple[bytes, bytes]:
-        """(toxic addition, ordinary) of all folds but one."""
-        keep = [k for k in range(self.counts.shape[1]) if k != without]
-        toxic, ordinary = (self.counts[y, keep].sum(0, dtype=np.int32) for y in (1, 0))
-        n, m = (max(1, int(self.sizes[y, keep].sum())) for y in (1, 0))
-        at = np.flatnonzero(toxic)
-        worth = np.zeros(CELLS)
-        worth[at] = surprise(toxic[at], ordinary[at], n, m)
-        own = lambda y: [text for (_, label), (fold, text) in self.texts.items() if label == y and fold != without]
-        return cover(own(1), worth, TOXIC_BYTES), ordinary_dictionary(own(0))
-
-
-def fold_of(doc_id: int, folds: int) -> int:
-    return zlib.crc32(b"fold %d" % doc_id) % folds
+    counts, met = np.zeros(CELLS, np.int32), set()
+    for text in texts:
+        counts[np.unique(runs(fresh(text.split(), met) if once else text))] += 1
+    return counts
+
+
+def dictionaries(sample: list[tuple]) -> tuple[bytes, bytes]:
+    """(toxic addition, ordinary) of labelled texts; a text that many copies repeat counts once."""
+    own: list[list[bytes]] = [[], []]
+    for (_, y), text in {(r[1][1], r[2]): b" %b " % r[1][0] for r in sample}.items():
+        own[y].append(text)
+    for once in (True, False):
+        ordinary, toxic = (counted(texts, once) for texts in own)
+        at, worth = np.flatnonzero(toxic), np.zeros(CELLS)
+        worth[at] = surprise(toxic[at], ordinary[at], max(1, len(own[1])), max(1, len(own[0])))
+        if added := cover(own[1], worth, TOXIC_BYTES):
+            break
+    return added, ordinary_dictionary(own[0])
 
 
-def fit(sample: list[tuple], folds: int = 4, spark: SparkSession | None = None) -> Model:
-    """Dictionaries of the whole sample; calibration on features that each fold gets from the other folds' dictionaries.
+def fit(sample: list[tuple], parts: int = 3, spark: SparkSession | None = None) -> Model:
+    """Dictionaries of all parts of the sample but one; calibration on that one.
 
     Rows are (doc_id, text or what ``plain`` makes of it, label) and optionally a weight, 1 if there is none.
     With ``spark`` the features are made on the executors.
-    With one label alone there is nothing to compare: every text gets that label's smoothed rate.
+    With one label alone in either there is nothing to compare: every text gets the smoothed rate of the labels.
     """
     sample = [(r[0], r[1] if isinstance(r[1], tuple) else plain(r[1]), *r[2:]) for r in sample]
     weight = lambda r: r[3] if len(r) > 3 else 1.0
-    parts = [[r for r in sample if fold_of(r[0], folds) == k] for k in range(folds)]
-    if any({r[2] for p in parts if p is not part for r in p} != {0, 1} for part in parts):
+    apart = [zlib.crc32(b"part %d" % r[0]) % parts == 0 for r in sample]
+    trained, held = ([r for r, x in zip(sample, apart, strict=True) if x == own] for own in (False, True))
+    if any({r[2] for r in some} != {0, 1} for some in (trained, held)):
         rate = (sum(r[2] * weight(r) for r in sample) + 1) / (sum(map(weight, sample)) + 2)
         return Model(b"", b"", (0.0,) * FEATURES, float(np.log(rate / (1 - rate))))
-    counts = Counts(sample, folds)
-    if not counts.dictionaries()[0]:
-        counts = Counts(sample, folds, once=False)
-    pairs = [counts.dictionaries(k) for k in range(folds)]
-    if spark is None:
-        gains = [Gains(*pair) for pair in pairs]
-        x = np.array([gains[fold_of(r[0], folds)].features(r[1][0].split()) for r in sample])
-    else:
-        x = _features_of(spark, [(fold_of(r[0], folds), r[1][0]) for r in sample], pairs)
-    y, each = np.array([r[2] for r in sample], float), np.array([weight(r) for r in sample])
+    pair = dictionaries(trained)
+    gains = Gains(*pair)
+    x = np.array([gains.features(r[1][0].split()) for r in held]) if spark is None else _features_of(spark, [r[1][0] for r in held], pair)
+    y, each = np.array([r[2] for r in held], float), np.array([weight(r) for r in held])
     weights, bias = logistic(x, y, each / each.mean())
-    return Model(*counts.dictionaries(), tuple(weights.tolist()), bias)
+    return Model(*pair, tuple(weights.tolist()), bias)
 
 
-def _features_of(spark: SparkSession, rows: list[tuple[int, bytes]], pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """Features of (fold, words) rows by their folds' dictionaries, in the rows' order."""
-    shared = spark.sparkContext.broadcast(pairs)
+def _features_of(spark: SparkSession, texts: list[bytes], pair: tuple[bytes, bytes]) -> np.ndarray:
+    """Features of texts, as words, in their order."""
+    shared = spark.sparkContext.broadcast(pair)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = [Gains(*pair) for pair in shared.value]
+        gains = Gains(*shared.value)
         for batch in batches:
-            found = [gains[fold].features(words.split()) for fold, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [gains.features(words.split()) for words in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["n", "x"])
 
-    sent = pa.table([pa.array(range(len(rows)), pa.int64()), pa.array([f for f, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["n", "fold", "words"])
+    sent = pa.table([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["n", "words"])
     found = spark.createDataFrame(sent).mapInArrow(arrow.steady(describe), "n bigint, x array<double>").collect()
     return np.array([r["x"] for r in sorted(found)])
 
