@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptflow.llm import arrow
+from conceptflow.llm.skew import spread_join
 from conceptflow.llm.textscan import ascii_lower, shingle_bytes, space_words
 from conceptflow.operators.components import connected_components
 from conceptflow.session import cut, table
@@ -44,14 +45,22 @@ def votes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: list[bytes | None], shingle: int = 4, seed: int = 42, block: int = 1 << 18) -> np.ndarray:
-    """64-bit SimHash of each text; ``block`` bounds the hashes unpacked at once (a longer text is one block)."""
+    """64-bit SimHash of each text; ``block`` bounds the hashes whose bits are unpacked at once, also of one long text."""
     digest, out, hashes, sizes = xxhash.xxh64_intdigest, [], [], []
     for text in [*texts, None]:
         own = [digest(s, seed) for s in shingle_bytes(space_words(ascii_lower(text or b"")), shingle)]
+        if len(own) > block:
+            own, long = [], np.array(own, np.uint64)
+            ones = sum(np.unpackbits(long[i : i + block].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64) for i in range(0, len(long), block))
+            mark = int(np.packbits(2 * ones > len(long)).view(">u8")[0])
+        else:
+            mark = None
         hashes += own
         sizes.append(len(own))
-        if len(hashes) >= block or len(out) + len(sizes) > len(texts):
+        if mark is not None or len(hashes) >= block or len(out) + len(sizes) > len(texts):
             out.extend(votes(np.array(hashes, np.uint64), np.array(sizes)).tolist())
+            if mark is not None:
+                out[-1] = mark
             hashes, sizes = [], []
     return np.array(out[: len(texts)], np.uint64)
 
@@ -104,15 +113,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
     component_id is the smallest doc_id that chains of links reach, its own
     included. Null and empty texts have fingerprint 0 and link like any other;
     repeated rows stay; rows with a null doc_id keep their place but give no
-    component its name (null if all are null). An empty table gives no rows.
+    component its name (null if all are null). An empty table gives no rows. Rows
+    of a hot fingerprint are dealt over several tasks.
     """
     marked = cut(fingerprint_table(docs, shingle, seed))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(distinct.select("fp"), max_bits))
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(marked, named, ["fp"], distinct.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
