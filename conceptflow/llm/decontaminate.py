@@ -6,9 +6,10 @@ window's words and items; each document's windows are looked up by binary
 search and every match is verified word by word before it counts.
 
 The broadcast is bounded: items go out in blocks of at most ``BLOCK_WORDS``
-words, one pass over the documents per block beyond the first, and the hit
-words of all passes are united per document. So the benchmark may grow without
-a larger broadcast. Reading the blocks uses one item's text at a time.
+words. A row passes through the blocks one after another and gathers their hits,
+without a shuffle, so whatever its id it stays a row of its own and the
+benchmark may grow without a larger broadcast. Reading the blocks uses one
+item's text at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from conceptflow.llm import arrow
 from conceptflow.llm.textscan import RollingHash, alnum_words, word_hashes
 from conceptflow.session import table
 
-#: Words of benchmark text in one broadcast (about 100 MB of windows at most).
-BLOCK_WORDS = 1_000_000
+#: Words of benchmark text in one broadcast (about 100 MB of windows at most, half a kilobyte each).
+BLOCK_WORDS = 200_000
 
 
 class WindowIndex:
@@ -78,15 +79,16 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def _scanner(shared):
+def _scanner(shared, last: bool):
+    """Rows (row, text, hit_words, items) with a block's hits added; the last block's have their number of words in place of the text."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             counts, hits, items = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text, known, ids in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = alnum_words(text)
-                places: set[int] = set()
-                who: set[str] = set()
+                places, who = set(known), set(ids)
                 for start, width, found in index.search(words):
                     places.update(range(start, start + width))
                     who.update(found)
@@ -94,8 +96,8 @@ def _scanner(shared):
                 hits.append(sorted(places))
                 items.append(sorted(who))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                ["row", "n_words", "hit_words", "items"],
+                [batch.column(0), pa.array(counts, pa.int64()) if last else batch.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                ["row", "n_words" if last else "text", "hit_words", "items"],
             )
 
     return scan
@@ -106,36 +108,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n:
 
     hit_words: sorted places (from 0) of the words inside benchmark windows;
     items: ids (as strings, sorted) with occurring windows. Null and empty texts
-    have no words; null items and items without words have no windows; an empty
-    benchmark finds nothing, an empty table gives no rows. With more than one
-    block rows are united by ``key``, which must then identify a row.
+    have no words; null items and items without words have no windows; rows with
+    repeated or null keys stay rows of their own, equal texts have equal hits; an
+    empty benchmark finds nothing, an empty table gives no rows.
     """
     spark = docs.sparkSession
     arrow.batched(spark)
-    rows = docs.select(F.col(key).alias("row"), F.col("text").cast("binary").alias("text"))
-    schema = f"row {dict(rows.dtypes)['row']}, n_words bigint, hit_words array<bigint>, items array<string>"
-    passes = [
-        rows.mapInArrow(_scanner(spark.sparkContext.broadcast(WindowIndex(block, n))), schema) for block in _blocks(benchmark, block_words)
-    ]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionAll(more)
-    if len(passes) > 1:
-        found = found.groupBy("row").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-    return found.withColumnRenamed("row", key)
+    none = [F.expr("cast(array() as array<bigint>)").alias("hit_words"), F.expr("cast(array() as array<string>)").alias("items")]
+    rows = docs.select(F.col(key).alias("row"), F.col("text").cast("binary").alias("text"), *none)
+    kind, blocks = dict(rows.dtypes)["row"], list(_indexes(benchmark, n, block_words))
+    for k, shared in enumerate(blocks):
+        last = k == len(blocks) - 1
+        rows = rows.mapInArrow(_scanner(shared, last), f"row {kind}, {'n_words bigint' if last else 'text binary'}, hit_words array<bigint>, items array<string>")
+    return rows.withColumnRenamed("row", key)
+
+
+def _indexes(benchmark: DataFrame, n: int, block_words: int):
+    """A broadcast index for each block; one at least."""
+    for block in _blocks(benchmark, block_words):
+        yield benchmark.sparkSession.sparkContext.broadcast(WindowIndex(block, n))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark window."""
-    spark = docs.sparkSession
-    arrow.batched(spark)
+    """The rows of ``docs``, with all their columns, that hold no benchmark window.
+
+    Null and empty texts hold none and stay, as do repeated rows and null ids; an
+    empty benchmark removes nothing.
+    """
+    arrow.batched(docs.sparkSession)
     kept = docs
-    for block in _blocks(benchmark, BLOCK_WORDS):
-        shared = spark.sparkContext.broadcast(WindowIndex(block, n))
+    for shared in _indexes(benchmark, n, BLOCK_WORDS):
         kept = kept.mapInArrow(_filter(shared, docs.columns.index("text")), docs.schema)
     return kept
 
