@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conceptflow.llm.skew import free, spread_join
 from conceptflow.session import cut, table
 
 
@@ -88,18 +89,19 @@ def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings per row, the new ledger rows).
 
-    ``versions``: any columns and ``text``; findings are these columns with
-    ``blob`` and ``spans`` (sorted by start, then the rules' order). ``ledger``:
-    (blob, rules, spans) of former runs, rules as kind:version; pairs of blob
-    and rule version that it has are not scanned, and a blob with all of them is
-    not read. Null texts are empty, without spans; repeated rows share one blob;
-    an empty table gives two empty results. A column named blob or spans in
-    ``versions`` is replaced.
+    ``versions``: any columns and ``text``; findings are these columns and two
+    more at the end, ``blob`` and ``spans`` (sorted by start, then the rules'
+    order), with underscores appended while ``versions`` has a column of the name.
+    ``ledger``: (blob, rules, spans) of former runs, rules as kind:version; pairs
+    of blob and rule version that it has are not scanned, and a blob with all of
+    them is not read. Null texts are empty, without spans; repeated rows share one
+    blob, and rows of a hot blob are dealt over several tasks; an empty table
+    gives two empty results.
     """
     wanted = names(rules)
     none = F.expr(f"cast(array() as {SPANS})")
-    own = versions.drop("blob", "spans")
-    fresh = blobs(own).withColumn("seen", F.expr("cast(array() as array<string>)"))
+    blob, held = free("blob", versions.columns), free("spans", versions.columns)
+    fresh = blobs(versions).withColumn("seen", F.expr("cast(array() as array<string>)"))
     if ledger is not None:
         seen = ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         fresh = fresh.drop("seen").join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.expr("cast(array() as array<string>)")))
@@ -115,9 +117,12 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         former = F.transform(current, lambda x: F.struct(x["start"].alias("start"), places[x["kind"]].alias("place"), x["kind"].alias("kind"), x["stop"].alias("stop")))
         both = known.unionByName(ledger.select("blob", former.alias("spans")))
         known = both.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    hits = known.where(F.size("spans") > 0)
-    named = own.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return named.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", none)), added
+    hits = known.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(held))
+    named = versions.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    sizes = cut(named.groupBy(blob).agg(F.count("*").alias("n")).where("n > 1"))
+    salt_by = [name for name, kind in versions.dtypes if name != "text" and not kind.startswith("map")]
+    found = spread_join(named, hits, [blob], sizes, "left", salt_by)
+    return found.select(*[F.col(f"`{c}`") for c in versions.columns], blob, F.coalesce(held, none).alias(held)), added
 
 
 def merged(found: Column) -> Column:
@@ -164,4 +169,32 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_secrets": op6_secrets}
-ORACLES: dict[str, str] = {}
+
+
+def _sql_spans(rule: Rule, place: int) -> str:
+    """DuckDB: the rule's spans of ``text``, by the text between matches and the matches, as ``spans`` makes them."""
+    quoted = rule.pattern.replace("(?i:", "(?i:").replace("'", "''")
+    gaps = f"list_transform(string_split_regex(t, '{quoted}'), lambda x: length(x))"
+    whole = f"list_transform(regexp_extract_all(t, '{quoted}', 0), lambda x: length(x))"
+    held = f"list_transform(regexp_extract_all(t, '{quoted}', {rule.group}), lambda x: length(x))"
+    at = "list_sum(g[1:i]) + coalesce(list_sum(w[1:i - 1]), 0)"
+    return (
+        f"SELECT doc_id, n, {place} AS place, '{rule.kind}' AS kind, CAST({at} AS BIGINT) AS start, CAST({at} + w[i] AS BIGINT) AS stop FROM ("
+        f"SELECT doc_id, n, g, w, h, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, n, {gaps} AS g, {whole} AS w, {held} AS h FROM d)) WHERE h[i] >= {rule.least}"
+    )
+
+
+_LINE = "kind || ':' || start || ':' || stop"
+ORACLES = {
+    "op6_secrets": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+s AS MATERIALIZED ({" UNION ALL ".join(_sql_spans(rule, k) for k, rule in enumerate(RULES))}),
+a AS (
+  SELECT n, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+         coalesce(string_agg({_LINE}, ',' ORDER BY start, place) FILTER (place < 3), '') AS base, string_agg({_LINE}, ',' ORDER BY start, place) AS spans
+  FROM s GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (n)
+"""
+}
