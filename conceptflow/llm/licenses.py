@@ -1,7 +1,7 @@
 """License scans by a positional index of rare tokens.
 
-Templates (notices as word sequences, each with a mandatory key phrase) are
-indexed by word and place. The inverse document frequency of their words is
+Templates (notices as word sequences, each with a mandatory key phrase; the base
+phrases are templates that are all key) are indexed by word and place. The inverse document frequency of their words is
 counted over the whole corpus. A template whose key words all occur in a text is
 looked up by the rarest of them; each occurrence gives an alignment (template,
 start), and the places of the other key words are intersected with it by
@@ -52,6 +52,12 @@ TEMPLATES = (
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     Template("cc-by-4.0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    Template("cc0-1.0", "this work is dedicated to the public domain under cc0 1 0 universal", "cc0 1 0 universal"),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
 
 
@@ -59,7 +65,8 @@ class Index:
     """Templates and phrases by word and place, with the corpus's IDF."""
 
     def __init__(self, idf: dict[bytes, float], templates: tuple[Template, ...] = TEMPLATES) -> None:
-        self.idf, self.templates = idf, templates
+        self.idf, self.own = idf, len(templates)
+        self.templates = templates = templates + tuple(Template(label, phrase, phrase) for phrase, label in BASE)
         self.words = [t.notice.encode().split() for t in templates]
         self.keys: list[tuple[int, list[bytes]]] = []
         for t, words in zip(templates, self.words, strict=True):
@@ -71,11 +78,6 @@ class Index:
             for k, w in enumerate(key):
                 self.postings.setdefault(w, []).append((n, at + k))
         self.probes = [[(w, k) for k, w in sorted(enumerate(key, at), key=lambda x: (-idf[x[1]], x))] for at, key in self.keys]
-        self.base = [(phrase.encode().split(), label) for phrase, label in BASE]
-        self.first = {phrase[0] for phrase, _ in self.base}
-
-    def base_places(self, words: list[bytes], at: dict[bytes, list[int]]) -> list[tuple[int, str]]:
-        return sorted((i, label) for phrase, label in self.base for i in at.get(phrase[0], ()) if words[i : i + len(phrase)] == phrase)
 
     def alignments(self, words: list[bytes], at: dict[bytes, list[int]]) -> Iterator[tuple[int, int]]:
         """(template, start) of every place where a key phrase stands."""
@@ -89,27 +91,29 @@ class Index:
             place, key = self.keys[n]
             yield from ((n, i) for i in sorted(starts or ()) if words[i + place : i + place + len(key)] == key)
 
-    def matches(self, words: list[bytes], at: dict[bytes, list[int]]) -> list[tuple[str, float]]:
-        """(label, share) of every verified alignment."""
-        found = []
+    def matches(self, words: list[bytes], at: dict[bytes, list[int]]) -> tuple[list[tuple[int, str]], list[tuple[str, float]]]:
+        """Places of the base phrases, and (label, share) of every other verified alignment."""
+        base, found = [], []
         for n, start in self.alignments(words, at):
+            if n >= self.own:
+                base.append((start, self.templates[n].label))
+                continue
             notice = self.words[n]
             weight = sum(self.idf[w] for w in notice)
             here = sum(self.idf[w] for k, w in enumerate(notice) if 0 <= start + k < len(words) and words[start + k] == w)
             found.append((self.templates[n].label, here / weight if weight else 1.0))
-        return found
+        return sorted(base), found
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, str]], list[tuple[str, float]]]:
         words = alnum_words(text)
-        here = set(words)
-        if not (here & self.first or here & self.postings.keys()):
+        wanted = self.postings.keys() & set(words)
+        if not wanted:
             return len(words), [], []
-        wanted = here & (self.first | self.postings.keys())
         at: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
             if w in wanted:
                 at.setdefault(w, []).append(i)
-        return len(words), self.base_places(words, at), self.matches(words, at)
+        return len(words), *self.matches(words, at)
 
 
 def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> list[bytes]:
