@@ -46,15 +46,28 @@ def communication_matrix(partition_rows: dict[int, int], sizes: np.ndarray, seed
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy's draw takes less than 10**9 of a kind; more are halved first, by the normal limit of the halves' share."""
+    """Good ones among ``draws`` without replacement, at any size.
+
+    numpy's draw takes less than 10**9 of a kind. Beyond, the distribution is
+    inverted: ratios of neighbouring probabilities, multiplied out from the mode
+    over 14 standard deviations to either side (what lies beyond is less than a
+    double's rounding), give all weights.
+    """
     if max(good, bad) < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws)) if good and draws else 0
-    first_good, first_bad = good // 2, bad // 2
-    share = (first_good + first_bad) / (good + bad)
-    lowest, highest = max(0, draws - (good + bad - first_good - first_bad)), min(draws, first_good + first_bad)
-    mean, spread = draws * share, np.sqrt(max(1.0, draws * share * (1 - share) * (1 - draws / (good + bad))))
-    first = int(min(highest, max(lowest, round(rng.normal(mean, spread)))))
-    return _hypergeometric(rng, first_good, first_bad, first) + _hypergeometric(rng, good - first_good, bad - first_bad, draws - first)
+    total, lowest, highest = good + bad, max(0, draws - bad), min(draws, good)
+    if lowest == highest:
+        return lowest
+    share = draws / total
+    reach = int(14 * np.sqrt(good / total * bad / total * draws * (1 - share) + 1)) + 14
+    mode = min(highest, max(lowest, (draws + 1) * (good + 1) // (total + 2)))
+    up = np.arange(mode, min(highest, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(lowest, mode - reach), -1, dtype=np.float64)
+    rise = np.cumprod((good - up) / (up + 1) * ((draws - up) / (bad - draws + up + 1)))
+    fall = np.cumprod(down / (good - down + 1) * ((bad - draws + down) / (draws - down + 1)))
+    weights = np.concatenate([fall[::-1], [1.0], rise])
+    at = int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum(), "right"))
+    return mode - len(fall) + min(at, len(weights) - 1)
 
 
 def _dealt(shared, columns: int):
