@@ -1,13 +1,23 @@
 """Best-fit packing of token sequences by bin completion.
 
 Pieces are at most ``capacity`` tokens long, so a corpus of any size is a
-histogram of at most ``capacity`` lengths. The plan is made from it alone: for
-the largest length left, branch and bound enumerates undominated fillings of
-the rest of a sequence, best-fit choices first (they are the incumbent), prunes
-by the waste bound, and applies the winner as often as the counts allow. Every
-application uses a length up, so the work of the plan does not depend on the
-number of pieces. Pieces then find their sequences by their rank in their
-length, in a table whose size is bounded by the capacity.
+histogram of at most ``capacity`` lengths. The plan is made from it alone.
+
+First best-fit completions: for the largest length left, branch and bound
+enumerates fillings of the rest of a sequence, prunes by the waste bound, and
+applies the winner as often as the counts allow. Every application uses a length
+up, so this work does not depend on the number of pieces. If the plan needs no
+more sequences than a lower bound, it is optimal.
+
+Otherwise it is the incumbent of a branch and bound over sequences: around the
+largest piece left, all undominated fillings are tried, least waste first, and a
+branch ends where its sequences and the lower bound of what is left can't beat
+the incumbent. ``nodes`` bounds that search and, with it, the part of the plan
+that is searched again (its ``TAIL`` worst filled sequences); with None there is
+no bound, the whole plan is searched, and the result is optimal.
+
+Pieces then find their sequences by their rank in their length, in a table whose
+size is bounded by the capacity.
 """
 
 from __future__ import annotations
@@ -27,6 +37,8 @@ from conceptflow.llm import arrow
 from conceptflow.session import cut, table
 
 CAPACITY = 4096
+#: Nodes of the search over sequences, and sequences that a bounded search packs again.
+NODES, TAIL = 20_000, 40
 #: Cached words of a worker (about 200 bytes each); at the bound the cache starts anew.
 CACHE = 1_000_000
 #: Texts for which normalising is lower-casing alone: printable ASCII, precomposed Latin letters, blanks.
@@ -170,8 +182,108 @@ def completion(room: int, lengths: list[int], counts: dict[int, int], budget: in
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that use every length of the histogram exactly as often as it counts."""
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's lower bound: pieces above capacity - k stand alone, those above half never meet, the rest fills up."""
+    lengths = sorted(counts)
+    best = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for k in [0, *[x for x in lengths if 2 * x <= capacity]]:
+        alone = sum(counts[x] for x in lengths if x > capacity - k)
+        large = [(x, counts[x]) for x in lengths if 2 * x > capacity and x <= capacity - k]
+        room = sum((capacity - x) * n for x, n in large)
+        rest = sum(x * counts[x] for x in lengths if x >= k and 2 * x <= capacity)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def dominated(filling: list[int], room: int, counts: dict[int, int]) -> bool:
+    """Whether one more piece of ``counts`` could stand for some of ``filling``, or for none, and leave no more waste.
+
+    Then the filling with that piece does what this one does, as its pieces fit
+    wherever the exchanged one would stand. ``counts`` is what the filling leaves.
+    """
+    waste, sums = room - sum(filling), {0: 0}
+    for x in filling:
+        for total, n in list(sums.items()):
+            sums[total + x] = max(sums.get(total + x, 0), n + 1)
+    return any(total < x <= total + waste or (total == x and sums[total] > 1) for x, n in counts.items() if n for total in sums)
+
+
+def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
+    """Undominated sets of pieces of ``counts`` within ``room``, lengths descending; the empty one if nothing fits."""
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+
+    def extend(left: int, at: int, chosen: list[int]) -> Iterator[tuple[int, ...]]:
+        while at < len(lengths) and lengths[at] > left:
+            at += 1
+        if at == len(lengths):
+            rest = dict(counts)
+            for x in chosen:
+                rest[x] -= 1
+            if not dominated(chosen, room, rest):
+                yield tuple(chosen)
+            return
+        x = lengths[at]
+        for n in range(min(counts[x], left // x), -1, -1):
+            yield from extend(left - n * x, at + 1, chosen + [x] * n)
+
+    return extend(room, 0, [])
+
+
+def searched(counts: dict[int, int], capacity: int, incumbent: int, nodes: int | None) -> list[tuple[int, ...]] | None:
+    """Fewer than ``incumbent`` sequences for all pieces of ``counts``, or None if there are none or the nodes run out."""
+    best: list[tuple[int, ...]] | None = None
+    spent, bound = 0, least_sequences(counts, capacity)
+    stack: list[tuple[dict[int, int], list[tuple[int, ...]]]] = [({x: n for x, n in counts.items() if n}, [])]
+    while stack and incumbent > bound and (nodes is None or spent < nodes):
+        left, made = stack.pop()
+        spent += 1
+        if not left:
+            if len(made) < incumbent:
+                best, incumbent = made, len(made)
+            continue
+        if len(made) + least_sequences(left, capacity) >= incumbent:
+            continue
+        first = max(left)
+        rest = left | {first: left[first] - 1}
+        found = []
+        for filling in fillings(capacity - first, rest):
+            found.append(filling)
+            spent += 1
+            if nodes is not None and spent >= nodes:
+                break
+        # The stack's end is tried first: least waste, then few large pieces.
+        for filling in sorted(found, key=lambda f: (sum(f), -len(f))):
+            after = dict(rest)
+            for x in filling:
+                after[x] -= 1
+            stack.append(({x: n for x, n in after.items() if n}, [*made, (first, *filling)]))
+    return best
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES, budget: int = 500) -> list[Pattern]:
+    """Patterns that use every length of the histogram exactly as often as it counts; with ``nodes`` None as few sequences as there can be."""
+    made = completed(histogram, capacity, budget)
+    if sum(p.times for p in made) <= least_sequences({x: n for x, n in histogram.items() if n > 0}, capacity):
+        return made
+    made.sort(key=lambda p: -sum(p.lengths))
+    tail, size = [], 0
+    while made and (nodes is None or size < TAIL):
+        last = made.pop()
+        times = last.times if nodes is None else min(last.times, TAIL - size)
+        if times < last.times:
+            made.append(Pattern(last.lengths, last.times - times))
+        tail.append(Pattern(last.lengths, times))
+        size += times
+    pieces: dict[int, int] = {}
+    for p in tail:
+        for x in p.lengths:
+            pieces[x] = pieces.get(x, 0) + p.times
+    better = searched(pieces, capacity, size, nodes)
+    return made + (tail if better is None else [Pattern(filling, 1) for filling in better])
+
+
+def completed(histogram: dict[int, int], capacity: int, budget: int) -> list[Pattern]:
+    """Best-fit completions, the largest length first."""
     counts = {x: n for x, n in histogram.items() if n > 0}
     lengths = sorted(counts)
     made: list[Pattern] = []
@@ -233,18 +345,19 @@ def ranked(pieces: DataFrame, groups: int) -> DataFrame:
     return salted.withColumn("place", F.row_number().over(within) - 1).join(sizes, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("place"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_rows: int = 200_000, nodes: int | None = NODES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for every piece of ``docs`` (doc_id, text).
 
     Null and empty texts are the end id alone; texts longer than ``capacity``
     are cut; equal documents are packed one by one; other columns are ignored;
     an empty table gives no rows. Sequence numbers are 0, 1, ... without gaps.
-    ``group_rows`` bounds the pieces of one length in one task.
+    ``group_rows`` bounds the pieces of one length in one task; ``nodes`` is the
+    plan's (None: as few sequences as there can be, at any cost).
     """
     spark = docs.sparkSession
     pieces = cut(token_pieces(docs, tokenizer, end_id, capacity))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(_tables(plan(histogram, capacity)))
+    shared = spark.sparkContext.broadcast(_tables(plan(histogram, capacity, nodes)))
     groups = 1 + max(histogram.values(), default=0) // group_rows
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
     return ranked(pieces, groups).select(columns).mapInArrow(
