@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptflow.functions import text as tx
+from conceptflow.session import cut
+
 
 def markdown_spans(blocks: DataFrame) -> DataFrame:
     """``blocks`` with span_start and span_end in the text joined by a blank line; boilerplate gets none."""
@@ -61,7 +64,7 @@ def chunks(blocks: DataFrame, target: int, most: int) -> DataFrame:
 
 
 def batch_numbers(labels: list[str], size: int) -> list[int]:
-    """Batch of each sorted distinct label: a label whose hash is a multiple of ``size`` ends one, and so do 2 x size labels."""
+    """Batch of each label of one sorted list, one after another: what ``batches`` makes of a table."""
     out, batch, held = [], 0, 0
     for label in labels:
         out.append(batch)
@@ -72,14 +75,29 @@ def batch_numbers(labels: list[str], size: int) -> list[int]:
 
 
 def batches(labels: DataFrame, size: int) -> DataFrame:
-    """(letter, label, batch): content-defined batches within labels of one first letter, so a list never is the corpus."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("label")
-        return rows.assign(batch=batch_numbers(rows.label.tolist(), size))
-
-    lettered = labels.select(F.substring("label", 1, 1).alias("letter"), "label").distinct()
-    return lettered.groupBy("letter").applyInPandas(fold, "letter string, label string, batch int")
+    """(label, batch, place): content-defined batches of the sorted distinct labels.
+
+    A label whose hash is a multiple of ``size`` ends a stretch, a stretch's
+    every 2 x ``size`` labels end a batch. So a batch is (stretch, part), named by
+    the stretch's first label and the part; place counts within it. Labels are
+    sorted range by range: only the counts of ranges are summed in one place.
+    """
+    if size < 1:
+        raise ValueError("a batch holds at least one label")
+    ends = F.conv(F.substring(F.sha1(F.col("label").cast("binary")), 1, 8), 16, 10).cast("bigint") % size == 0
+    own = labels.select("label").where("label is not null").distinct().withColumn("ends", ends)
+    ranged = cut(own.repartitionByRange("label").withColumn("part", F.spark_partition_id()))
+    # In each range, the stretches that end before a label; ranges begin where the ones before left off.
+    order = Window.partitionBy("part").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("before", F.coalesce(F.sum(F.col("ends").cast("bigint")).over(order), F.lit(0)))
+    ended = ranged.groupBy("part").agg(F.sum(F.col("ends").cast("bigint")).alias("n"))  # a row for each range
+    base = ended.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    stretches = local.join(F.broadcast(base), "part").select("label", (F.col("base") + F.col("before")).alias("stretch"))
+    place = F.row_number().over(Window.partitionBy("stretch").orderBy("label")) - 1
+    first = F.min("label").over(Window.partitionBy("stretch"))
+    placed = stretches.select("label", first.alias("first"), place.alias("place"))
+    name = F.concat_ws("#", "first", (F.col("place") / (2 * size)).cast("bigint").cast("string"))
+    return placed.select("label", name.alias("batch"), (F.col("place") % (2 * size)).alias("place"))
 
 
 def boilerplate(blocks: DataFrame, template, share: float, most_chars: int, least_pages: int = 3) -> DataFrame:
@@ -103,22 +121,49 @@ def position_clusters(places: list[tuple[float, float, float, float]], tolerance
 
 
 def screen(questions: list[str], threshold: float) -> list[bool]:
-    """Whether each question is kept: no exact copy and no near copy of one kept before."""
+    """Whether each question is kept: no near copy of one kept before; a threshold above 1 keeps all."""
+    if threshold > 1:
+        return [True] * len(questions)
     kept: list[str] = []
     out = []
     for question in questions:
-        known = any(question == k or SequenceMatcher(None, question, k).ratio() >= threshold for k in kept)
-        out.append(not known)
-        if not known:
+        out.append(not any(_ratio(question, k) >= threshold for k in kept))
+        if out[-1]:
             kept.append(question)
     return out
 
 
-def screened(questions: DataFrame, threshold: float) -> DataFrame:
-    """(document_id, ordinal, kept) of questions (document_id, ordinal, text), in order, per document."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        return rows[["document_id", "ordinal"]].assign(kept=screen(rows.text.tolist(), threshold))
-
-    return questions.select("document_id", "ordinal", "text").groupBy("document_id").applyInPandas(fold, "document_id bigint, ordinal int, kept boolean")
+def screened(answers: DataFrame, shown: DataFrame, threshold: float) -> DataFrame:
+    """(cq_type, ordinal, verdict) of a model's questions: kept, or why not.
+
+    ``answers``: (cq_type, ordinal, question, sparql, passage, parses), passage
+    counts from 1; ``shown``: (cq_type, n) passages. In this order: no passage
+    that was shown is cited; the same words as one kept before (letters and case
+    alone differ from none); nearly the text of one kept before; the query doesn't
+    parse; one triple answers it. Only what the first rules let pass, once for
+    each wording, is compared with what is kept, in one task: they are what people
+    are to read.
+    """
+    cited = F.coalesce(F.col("passage").between(1, F.col("n")), F.lit(False))
+    rows = answers.join(shown, "cq_type", "left").withColumn("same", tx.normalized(F.col("question")))
+    rows = rows.withColumn("shape", F.when(~cited, "no passage").when(~F.col("parses"), "does not parse").when(tx.single_triple(F.col("sparql")), "a single triple"))
+    order = Window.partitionBy("same").orderBy("cq_type", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    # A wording is taken by its first question without fault, unless that is a near copy, which the fold tells.
+    good = rows.withColumn("earlier", F.coalesce(F.count(F.when(F.col("shape").isNull(), 1)).over(order), F.lit(0)))
+    first = good.where("shape is null and earlier = 0").select("cq_type", "ordinal", "question", "same")
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["cq_type", "ordinal"])
+        return part[["same"]].assign(near=[not good for good in screen(part.question.tolist(), threshold)])
+
+    near = first.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fold, "same string, near boolean")
+    judged = good.join(near, "same", "left")
+    taken = (F.col("earlier") > 0) & ~F.coalesce("near", F.lit(False))
+    verdict = F.when(F.col("shape") == "no passage", "no passage").when(taken, "duplicate").when((F.col("near") == True) & (F.col("shape").isNull()), "near-duplicate")  # noqa: E712
+    return judged.select("cq_type", "ordinal", F.coalesce(verdict, F.col("shape"), F.lit("kept")).alias("verdict"))
+
+
+def _ratio(a: str, b: str) -> float:
+    """Matching blocks' ratio, after its upper bounds."""
+    found = SequenceMatcher(None, a, b)
+    return min(found.real_quick_ratio(), found.quick_ratio(), 1.0) and found.ratio()

@@ -24,15 +24,23 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return done
 
 
-def depths(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """(node, depth): the longest chain from a root, roots being 1; ``limit`` ends cycles."""
-    nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
-    level = cut(nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(1)))
-    done = level
-    while not level.isEmpty() and (limit := limit - 1) > 0:
-        level = cut(level.join(edges.withColumnRenamed("parent", "node"), "node").select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")).distinct())
-        done = done.unionByName(level)
-    return done.groupBy("node").agg(F.max("depth").alias("depth"))
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest chain from a root, roots being 1; nodes on a cycle or below one alone have no root and no row.
+
+    A node gets its depth once all its parents have theirs, so each is visited once.
+    """
+    own = cut(edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct())
+    nodes = own.select(F.col("parent").alias("node")).union(own.select("child")).distinct()
+    done = level = cut(nodes.join(own.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(1)))
+    left = own
+    while not level.isEmpty():
+        # Edges from settled parents; a child is ready if none of its edges comes from another.
+        known = left.join(done.select(F.col("node").alias("parent"), "depth"), "parent", "left")
+        ready = known.groupBy(F.col("child").alias("node")).agg(F.bool_and(F.col("depth").isNotNull()).alias("all"), (F.max("depth") + 1).alias("depth")).where("all")
+        level = cut(ready.select("node", "depth"))
+        done = cut(done.unionByName(level))
+        left = cut(left.join(level.select(F.col("node").alias("child")), "child", "left_anti"))
+    return done
 
 
 def structure(edges: DataFrame, classes: DataFrame, max_branching: int) -> DataFrame:
@@ -67,8 +75,51 @@ def conflicts(typed: DataFrame, closure: DataFrame) -> DataFrame:
     return left.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_set("iri")), ",").alias("iris"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
+def blank_labels(triples: DataFrame) -> DataFrame:
+    """(node, label) of blank nodes (``_:``), whatever the parser called them.
+
+    A label digests the sorted edges around a node, each with its direction,
+    predicate and the other end: the term itself, or the other blank node's label
+    of the round before. Rounds go on while they tell more nodes apart; so equal
+    graphs get equal labels, cycles of blank nodes included. Nodes that no round
+    tells apart stand alike in the graph; they are numbered, in any order.
+    """
+    blank = lambda c: F.col(c).startswith("_:")
+    edges = triples.where(blank("s") | blank("o")).select("s", "p", "o").distinct()
+    into = edges.where(blank("o")).select(F.col("o").alias("node"), F.lit(0).alias("out"), "p", F.col("s").alias("other"))
+    out = edges.where(blank("s")).select(F.col("s").alias("node"), F.lit(1).alias("out"), "p", F.col("o").alias("other"))
+    around = cut(into.unionByName(out))
+    labels, kinds = around.select("node").distinct().withColumn("label", F.lit("")), 0
+    while True:
+        told = around.join(labels.select(F.col("node").alias("other"), F.col("label").alias("known")), "other", "left")
+        end = F.struct(blank("other").alias("blank"), F.coalesce("known", "other").alias("name"))
+        edge = F.struct("out", "p", end.alias("end"))
+        # The node's own former label goes in too, so that a class of nodes is only ever split.
+        rows = told.groupBy("node").agg(F.to_json(F.array_sort(F.collect_list(edge))).alias("edges")).join(labels, "node")
+        labels = cut(rows.select("node", F.sha2(F.concat_ws("#", "label", "edges").cast("binary"), 256).alias("label")))
+        n = labels.select("label").distinct().count()
+        if n <= kinds:
+            break
+        kinds = n
+    twin = F.row_number().over(Window.partitionBy("label").orderBy("node")) - 1
+    return labels.select("node", F.concat_ws(".", "label", twin.cast("string")).alias("label"))
+
+
+def stable(triples: DataFrame) -> DataFrame:
+    """``triples`` (s, p, o) with blank nodes under labels that only depend on the graph."""
+    rows = triples.select("s", "p", "o")
+    if rows.where(F.col("s").startswith("_:") | F.col("o").startswith("_:")).isEmpty():
+        return rows
+    names = blank_labels(rows)
+    for end in ("s", "o"):
+        named = rows.join(names.select(F.col("node").alias(end), "label"), end, "left")
+        rows = named.withColumn(end, F.coalesce(F.concat(F.lit("_:"), "label"), end)).select("s", "p", "o")
+    return rows
+
+
 def logical(triples: DataFrame) -> DataFrame:
-    return triples.where(~F.col("p").isin(ANNOTATIONS)).select("s", "p", "o").distinct()
+    """The triples that aren't annotations, once each, blank nodes under stable labels."""
+    return stable(triples.where(~F.col("p").isin(ANNOTATIONS))).distinct()
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -80,34 +131,17 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def state_hash(triples: DataFrame) -> DataFrame:
-    """(n, hash): an order-free digest of the logic.
+    """(n, hash): an order-free digest of the logic, blind to the names of blank nodes.
 
-    Lines are hashed one by one and the hashes of 4,096 buckets are hashed
-    again, so no task holds the whole graph and the result needs no global sort.
+    A tree of digests: lines by six hex digits of their hashes, those by three,
+    those in one. A task holds a sixteen-millionth of the graph, or 4,096 digests.
     """
     line = F.sha2(F.concat_ws(" ", "s", "p", "o").cast("binary"), 256)
-    buckets = logical(triples).select(line.alias("h")).groupBy(F.substring("h", 1, 3).alias("b"))
-    inner = buckets.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n").cast("binary"), 256).alias("h"), F.count("*").alias("n"))
-    whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n").cast("binary"), 256)
-    return inner.agg(F.sum("n").alias("n"), whole.alias("hash"))
-
-
-def blank_labels(triples: DataFrame) -> DataFrame:
-    """(node, label) of blank nodes (``_:``): each round describes them by the edges to terms that are named already."""
-    blank = lambda c: F.col(c).startswith("_:")
-    edges = triples.where(blank("s") | blank("o")).select("s", "p", "o").distinct()
-    into = edges.where(blank("o")).select(F.col("o").alias("node"), F.lit("<").alias("d"), "p", F.col("s").alias("other"))
-    out = edges.where(blank("s")).select(F.col("s").alias("node"), F.lit(">").alias("d"), "p", F.col("o").alias("other"))
-    around = cut(into.unionByName(out))
-    known = triples.sparkSession.createDataFrame([], "node string, label string")
-    while True:
-        named = around.join(known.select(F.col("node").alias("other"), "label"), "other", "left")
-        named = named.withColumn("name", F.when(blank("other"), F.col("label")).otherwise(F.col("other"))).where("name is not null")
-        open_ = named.join(known, "node", "left_anti")
-        fresh = cut(open_.groupBy("node").agg(F.substring(F.sha1(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "d", "p", "name"))), "&").cast("binary")), 1, 16).alias("label")))
-        if fresh.isEmpty():
-            return known
-        known = cut(known.unionByName(fresh))
+    digest = lambda c: F.sha2(F.array_join(c, "\n").cast("binary"), 256)
+    sorted_ = lambda: F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    leaves = logical(triples).select(line.alias("h")).groupBy(F.substring("h", 1, 6).alias("b")).agg(digest(F.sort_array(F.collect_list("h"))).alias("h"), F.count("*").alias("n"))
+    inner = leaves.groupBy(F.substring("b", 1, 3).alias("t")).agg(digest(sorted_()).alias("h"), F.sum("n").alias("n")).withColumnRenamed("t", "b")
+    return inner.agg(F.sum("n").alias("n"), digest(sorted_()).alias("hash"))
 
 
 def match(triples: DataFrame, patterns: list[tuple[str, str, str]], not_exists: list[tuple[str, str, str]] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptflow.functions.text import phrase_pattern
+
 
 def decide(pairs: DataFrame, auto: float, grey: float) -> DataFrame:
     """``pairs`` with action and reason: key, language, synonym, generic phrase, proper name, similarity, in this order.
@@ -78,16 +80,27 @@ def sample_per(rows: DataFrame, by: list[str], n: int, key: Column, seed: int) -
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(draw, key))).where(F.col("_n") <= n).drop("_n")
 
 
-def presence(phrases: list[tuple[str, str, str]], docs: DataFrame) -> DataFrame:
-    """(iri, occurrences, documents) of phrases (iri, words joined by one space, regex) in all texts.
+def presence(phrases: DataFrame, docs: DataFrame, first: int = 3) -> DataFrame:
+    """(iri, occurrences, documents) of phrases (iri, label) in all texts (doc_id, text); doc_id names a document.
 
-    The list is a parameter, not a table. A phrase's regex only runs on texts that
-    contain its words, which a byte search tells.
+    A phrase's first words (``first``, or all it has) meet the texts' word runs by
+    an equi-join; its pattern, which allows any space between words, only runs on
+    the texts that hold them.
     """
-    texts = docs.select(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ").alias("t"))
-    one = lambda words, pattern: F.when(F.contains("t", F.lit(words)), F.regexp_count("t", F.lit(pattern))).otherwise(0)
-    counts = texts.select(F.array(*[one(words, pattern) for _, words, pattern in phrases]).alias("n"))
-    exploded = counts.select(F.posexplode("n").alias("k", "n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
-    names = docs.sparkSession.createDataFrame([(k, iri) for k, (iri, _, _) in enumerate(phrases)], "k int, iri string")
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    named = phrases.select("iri", words(F.col("label")).alias("w"))
+    keyed = named.where("size(w) > 0").select(
+        "iri", phrase_pattern(F.array_join("w", " ")).alias("pattern"), F.least(F.size("w"), F.lit(first)).alias("width"), F.array_join(F.slice("w", 1, first), " ").alias("gram")
+    )
+    widths = sorted(r["width"] for r in keyed.select("width").distinct().collect())  # ``first`` at most
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(F.lit(k).alias("width"), F.concat_ws(" ", *[F.get("w", i - 1 + j) for j in range(k)]).alias("gram")))
+    every = [F.when(F.size("w") >= k, runs(k)) for k in widths]
+    none = F.expr("cast(array() as array<struct<width: int, gram: string>>)")
+    own = texts.select("doc_id", words(F.col("t")).alias("w"))
+    grams = own.select("doc_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(x, none) for x in every]))).alias("g")).select("doc_id", "g.width", "g.gram")
+    held = grams.join(keyed, ["width", "gram"]).select("doc_id", "iri", "pattern")
+    counts = held.join(texts, "doc_id").withColumn("n", F.regexp_count("t", F.col("pattern"))).where("n > 0")
+    found = counts.groupBy("iri").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return names.join(exploded, "k", "left").select("iri", zero("occurrences"), zero("documents"))
+    return named.select("iri").join(found, "iri", "left").select("iri", zero("occurrences"), zero("documents"))

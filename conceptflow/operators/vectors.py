@@ -110,12 +110,14 @@ def _pairs(floor: float):
     return join
 
 
-def similar_pairs(vectors: DataFrame, floor: float, blocks: int = 8) -> DataFrame:
+def similar_pairs(vectors: DataFrame, floor: float, block_rows: int = 2048) -> DataFrame:
     """(a, b, score) with a < b and cosine >= ``floor``, exactly: blocks of rows meet pairwise in Arrow.
 
-    ``vectors``: (id bigint, v). Rows are spread by a hash of their id over
-    ``blocks``; each pair of blocks is one task, and only real pairs leave it.
+    ``vectors``: (id bigint, v). Rows are spread by a hash of their id over blocks
+    of about ``block_rows``, whatever their number; each pair of blocks is one
+    group, and only real pairs leave it.
     """
+    blocks = 1 + vectors.count() // block_rows
     spread = vectors.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # New names for both sides: a cogroup of two branches of one table confuses their columns.
     left = spread.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("_b").alias("_b")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -32,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of this machine where that is unset (tests, local runs)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one if Spark runs in one process, else an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="conceptflow-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="conceptflow-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
