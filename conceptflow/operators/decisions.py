@@ -35,6 +35,36 @@ def scored(axioms: DataFrame, support: DataFrame, orphans: int, entities: int) -
     )
 
 
+def affinity(choices: DataFrame, history: DataFrame) -> DataFrame:
+    """(branch_id, affinity): the share of a branch's choices that were decided for before; null if none was decided at all.
+
+    ``choices``: (branch_id, axis, option); ``history``: (axis, option, weight) as ``record`` makes it.
+    """
+    seen = choices.join(history, ["axis", "option"], "left")
+    decided = F.count_if(F.coalesce(F.col("weight") != 0, F.lit(False)))
+    return seen.groupBy("branch_id").agg(F.when(decided > 0, F.count_if(F.coalesce(F.col("weight") > 0, F.lit(False))) / F.count("*")).alias("affinity"))
+
+
+def decided(settled: DataFrame) -> DataFrame:
+    """(id, branch_id, status, axis, comment): a row of the record for each axis of a settled branch, one with an empty axis if it has none.
+
+    ``settled``: (branch_id, status, note, axes: array of (axis, option)). What is
+    still proposed gives no row; an axis' category is what stands before its colon.
+    """
+    none = F.expr("array(named_struct('axis', '', 'option', ''))")
+    each = settled.where(F.col("status").isin(*WEIGHTS)).withColumn("x", F.explode(F.when(F.size("axes") > 0, F.col("axes")).otherwise(none)))
+    name = F.concat_ws(":", F.col("branch_id").cast("string"), "x.axis")
+    return each.select(name.alias("id"), "branch_id", "status", F.substring_index("x.axis", ":", 1).alias("axis"), F.coalesce("note", F.lit("")).alias("comment"))
+
+
+def unsettled(held: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Branches (decision_id, branch_id, status, ...) after new ones are persisted: settled decisions stay as they are, proposals of the others are replaced."""
+    closed = held.where(F.col("status").isin(*WEIGHTS)).select("decision_id").distinct()
+    new = fresh.join(closed, "decision_id", "left_anti")
+    kept = held.join(closed, "decision_id", "left_semi").unionByName(held.join(closed, "decision_id", "left_anti").join(fresh.select("decision_id").distinct(), "decision_id", "left_anti"))
+    return kept.unionByName(new.select(held.columns))
+
+
 def ranked(branches: DataFrame, limit: int) -> DataFrame:
     """The best branches: coverage, then cost, then affinity (null: 0), then id."""
     cost, affinity = F.col("reorg_cost") + F.col("regen_cost"), F.coalesce("affinity", F.lit(0.0))

@@ -205,6 +205,19 @@ def individuals(typed: DataFrame, marks: DataFrame, policy: str = "flag") -> Dat
     return types.unionByName(several).unionByName(sources).unionByName(kinds).select(F.col("entity").cast("string").alias("s"), "p", "o")
 
 
+def provenance(typed: DataFrame, marks: DataFrame) -> DataFrame:
+    """(s, p, o, g): the quads of individuals' mentions, in a graph for each document; marked mentions are left out.
+
+    ``typed``: (entity, mention_id, iri, document_id, surface).
+    """
+    live = typed.join(marks, "mention_id", "left_anti")
+    mention = F.concat(F.lit("mention/"), F.col("mention_id").cast("string"))
+    fact = lambda s, p, o: F.struct(s.cast("string").alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"))
+    facts = F.array(fact(F.col("entity"), "prov:wasDerivedFrom", mention), fact(mention, "nif:anchorOf", F.col("surface")), fact(mention, "itsrdf:taIdentRef", F.col("iri")))
+    rows = live.select(F.concat(F.lit("document/"), F.col("document_id").cast("string")).alias("g"), F.explode(facts).alias("x"))
+    return rows.select("x.s", "x.p", "x.o", "g").where("o is not null").distinct()
+
+
 def lineage(versions: DataFrame, tip: str) -> DataFrame:
     """(version_id, steps) from ``tip`` to its root; a loop ends where it closes."""
     edges = versions.select(F.col("version_id").alias("child"), F.col("parent_id").alias("parent"))

@@ -62,12 +62,12 @@ def pitfalls(triples: DataFrame) -> DataFrame:
 def targets(triples: DataFrame) -> DataFrame:
     """(iri, label, alt_labels, gloss, has_key) of every named class with a name; arrays are sorted within each kind of name."""
     p, o = F.col("p"), F.col("o")
-    rows = triples.where(~F.col("s").startswith("_:") & p.isin("rdf:type", "owl:hasKey", "skos:definition", *NAMES))
+    rows = triples.where(~F.col("s").startswith("_:") & p.isin("rdf:type", "owl:hasKey", "skos:definition", "rdfs:comment", *NAMES))
     place = F.when(p == NAMES[0], 0).when(p == NAMES[1], 1).when(p == NAMES[2], 2)
     one = rows.groupBy(F.col("s").alias("iri")).agg(
         F.bool_or((p == "rdf:type") & (o == "owl:Class")).alias("is_class"),
         F.sort_array(F.collect_set(F.when(p.isin(*NAMES), F.struct(place.alias("k"), o.alias("o"))))).alias("names"),
-        F.min(F.when(p == "skos:definition", o)).alias("gloss"),
+        F.coalesce(F.min(F.when(p == "skos:definition", o)), F.min(F.when(p == "rdfs:comment", o))).alias("gloss"),
         F.sort_array(F.collect_set(F.when(p == "owl:hasKey", o))).alias("has_key"),
     )
     names = F.array_distinct(F.transform("names", lambda x: x["o"]))

@@ -122,7 +122,11 @@ def axes(conflicts: DataFrame) -> DataFrame:
         return pd.DataFrame({"decision": pd.Series([rows.decision.iloc[0]] * len(options), dtype="int64"), "option": pd.Series(options, dtype=object)})
 
     rows = conflicts.select("conflict", "axiom").distinct().join(touching(conflicts), "conflict")
-    return rows.groupBy("decision").applyInPandas(fold, "decision bigint, option array<string>")
+    several = rows.where("conflict <> decision").select("decision").distinct()
+    # A conflict on its own is settled by any one of its axioms.
+    alone = rows.join(several, "decision", "left_anti").groupBy("decision").agg(F.collect_list("axiom").alias("a")).where("size(a) > 1")
+    folded = rows.join(several, "decision", "left_semi").groupBy("decision").applyInPandas(fold, "decision bigint, option array<string>")
+    return alone.select("decision", F.explode("a").alias("x")).select("decision", F.array("x").alias("option")).unionByName(folded)
 
 
 def branches(options: DataFrame, most: int) -> DataFrame:

@@ -80,27 +80,28 @@ def sample_per(rows: DataFrame, by: list[str], n: int, key: Column, seed: int) -
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(draw, key))).where(F.col("_n") <= n).drop("_n")
 
 
-def presence(phrases: DataFrame, docs: DataFrame, first: int = 3) -> DataFrame:
+def presence(phrases: DataFrame, docs: DataFrame, first: int = 5) -> DataFrame:
     """(iri, occurrences, documents) of phrases (iri, label) in all texts (doc_id, text); doc_id names a document.
 
     A phrase's first words (``first``, or all it has) meet the texts' word runs by
     an equi-join; its pattern, which allows any space between words, only runs on
-    the texts that hold them.
+    texts that hold all its words one after another, which a byte search tells.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     named = phrases.select("iri", words(F.col("label")).alias("w"))
     keyed = named.where("size(w) > 0").select(
-        "iri", phrase_pattern(F.array_join("w", " ")).alias("pattern"), F.least(F.size("w"), F.lit(first)).alias("width"), F.array_join(F.slice("w", 1, first), " ").alias("gram")
+        "iri", F.array_join("w", " ").alias("whole"), phrase_pattern(F.array_join("w", " ")).alias("pattern"), F.least(F.size("w"), F.lit(first)).alias("width"), F.array_join(F.slice("w", 1, first), " ").alias("gram")
     )
     widths = sorted(r["width"] for r in keyed.select("width").distinct().collect())  # ``first`` at most
-    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(F.lit(k).alias("width"), F.concat_ws(" ", *[F.get("w", i - 1 + j) for j in range(k)]).alias("gram")))
-    every = [F.when(F.size("w") >= k, runs(k)) for k in widths]
-    none = F.expr("cast(array() as array<struct<width: int, gram: string>>)")
-    own = texts.select("doc_id", words(F.col("t")).alias("w"))
-    grams = own.select("doc_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(x, none) for x in every]))).alias("g")).select("doc_id", "g.width", "g.gram")
-    held = grams.join(keyed, ["width", "gram"]).select("doc_id", "iri", "pattern")
-    counts = held.join(texts, "doc_id").withColumn("n", F.regexp_count("t", F.col("pattern"))).where("n > 0")
+    texts = docs.select("doc_id", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ").alias("t"))
+    # A run of k words has k - 1 spaces, so runs of different widths never meet.
+    runs = lambda w, k: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))
+    none = F.expr("cast(array() as array<string>)")
+    # The word list is bound once: inside the inner lambda its expression would be evaluated anew for every word.
+    every = F.flatten(F.transform(F.array(words(F.col("t"))), lambda w: F.concat(none, *[runs(w, k) for k in widths])))
+    grams = texts.select("doc_id", F.explode(every).alias("gram"))
+    held = grams.join(keyed.drop("width"), "gram").select("doc_id", "iri", "whole", "pattern").distinct()
+    counts = held.join(texts, "doc_id").where(F.contains("t", F.col("whole"))).withColumn("n", F.regexp_count("t", F.col("pattern"))).where("n > 0")
     found = counts.groupBy("iri").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return named.select("iri").join(found, "iri", "left").select("iri", zero("occurrences"), zero("documents"))

@@ -38,6 +38,14 @@ def annotated(items: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.withColumn("payload", F.when(F.col("patch").isNull(), F.col("payload")).otherwise(F.map_concat(kept, "patch"))).select(items.columns)
 
 
+def logged(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The session log (session_id, seq, kind, summary) with events (session_id, kind, summary, at) added after what it holds, by their times."""
+    last = log.groupBy("session_id").agg(F.max("seq").alias("last"))
+    order = Window.partitionBy("session_id").orderBy("at", "kind", "summary")
+    new = events.withColumn("n", F.row_number().over(order)).join(last, "session_id", "left")
+    return log.unionByName(new.select("session_id", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("bigint").alias("seq"), "kind", "summary"))
+
+
 # --- versions ----------------------------------------------------------------
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from conceptflow import ledger
 from conceptflow.functions import text as tx
-from conceptflow.operators import graph, passages, resolution, sparql, workflow
+from conceptflow.operators import decisions, graph, passages, resolution, sparql, workflow
 from conceptflow.plans.catalog import Tables, query
+from conceptflow.sources import writers
 
 # --- resolution --------------------------------------------------------------
 
@@ -181,20 +182,22 @@ def rejected_proposals(t: Tables) -> DataFrame:
     return _assembled(t)[1]
 
 
-_CONFLICTS = "c AS (SELECT l_orderkey AS conflict, l_suppkey * 1000 + l_orderkey % 211 AS axiom FROM lineitem WHERE l_linenumber <= 2)"
+_CONFLICTS = "c AS (SELECT l_orderkey AS conflict, CASE WHEN l_linenumber = 1 THEN l_orderkey // (1 + l_orderkey % 2 * 3) ELSE -l_orderkey END AS axiom FROM lineitem)"
+
+
+def _conflicts(t: Tables) -> DataFrame:
+    return t.lineitem.selectExpr("cast(l_orderkey as bigint) as conflict", "if(l_linenumber = 1, l_orderkey div (1 + l_orderkey % 2 * 3), -l_orderkey) as axiom")
 
 
 @query(f"""WITH RECURSIVE {_CONFLICTS}, e AS (SELECT DISTINCT x.conflict AS a, y.conflict AS b FROM c x JOIN c y USING (axiom)), r(n, m) AS (SELECT conflict, conflict FROM (SELECT DISTINCT conflict FROM c) UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a)
 SELECT n AS conflict, min(m) AS decision FROM r GROUP BY n""")
 def touching_conflicts(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_linenumber <= 2").selectExpr("cast(l_orderkey as bigint) as conflict", "l_suppkey * 1000 + l_orderkey % 211 as axiom")
-    return passages.touching(rows)
+    return passages.touching(_conflicts(t))
 
 
 @query()
 def logical_axes(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_linenumber <= 2").selectExpr("cast(l_orderkey as bigint) as conflict", "cast(l_suppkey * 1000 + l_orderkey % 211 as string) as axiom")
-    return passages.axes(rows).select("decision", F.array_join("option", ",").alias("option"))
+    return passages.axes(_conflicts(t).withColumn("axiom", F.col("axiom").cast("string"))).select("decision", F.array_join("option", ",").alias("option"))
 
 
 @query("""SELECT 'a=' || a || ';b=' || b || ';c=' || c AS branch FROM (SELECT DISTINCT n_regionkey AS a FROM nation), (SELECT DISTINCT 'x' || (r_regionkey % 3) AS b FROM region), (SELECT DISTINCT r_name AS c FROM region) ORDER BY CAST(a AS VARCHAR), b, c LIMIT 40""")
@@ -490,3 +493,64 @@ def accepted_types(t: Tables) -> DataFrame:
     zone = F.when(F.col("event_id") % 3 == 0, "auto").when(F.col("event_id") % 3 == 1, "grey").otherwise("discarded")
     typed = t.events.select(F.col("event_id").alias("mention_id"), F.col("event_type").alias("iri"), F.col("user_id").alias("entity"), zone.alias("zone"))
     return workflow.accepted_types(typed, t.events.where("event_id % 2 = 0").select(F.col("event_id").alias("mention_id"))).select("mention_id", "iri", "entity")
+
+
+@query("""WITH m AS (SELECT conv_id AS d, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, conv_id || '/' || turn AS id, CASE WHEN turn % 3 > 0 THEN role END AS iri, turn AS a, turn + length(text) AS z, text, turn % 2 = 0 AS known, CASE WHEN turn % 4 > 0 THEN role END AS entity FROM conversations),
+c AS (SELECT d, entity, list('T' || n ORDER BY n) AS m, min(n) AS f FROM m WHERE entity IS NOT NULL GROUP BY ALL), e AS (SELECT d, entity AS name, m[1] AS t FROM c UNION ALL SELECT d, id, 'T' || n FROM m),
+r AS (SELECT conv_id AS d, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, role AS s, conv_id || '/' || (turn - 1) AS o FROM conversations)
+SELECT d AS document_id, 0 AS part, n AS place, 'T' || n || chr(9) || coalesce(iri, 'Unassigned') || ' ' || a || ' ' || z || chr(9) || text AS value FROM m
+UNION ALL SELECT d, 1, n, 'A' || row_number() OVER (PARTITION BY d ORDER BY n) || chr(9) || 'InInventory T' || n FROM m WHERE known
+UNION ALL SELECT r.d, 2, r, 'R' || r || chr(9) || 'follows Arg1:' || x.t || ' Arg2:' || y.t FROM r JOIN e x ON x.d = r.d AND x.name = s JOIN e y ON y.d = r.d AND y.name = o
+UNION ALL SELECT d, 3, f, '*' || chr(9) || 'Coreference ' || array_to_string(m, ' ') FROM c WHERE len(m) > 1""")
+def brat_documents(t: Tables) -> DataFrame:
+    rows = t.conversations.selectExpr(
+        "conv_id as document_id", "turn as ordinal", "concat_ws('/', conv_id, turn) as id", "if(turn % 3 > 0, role, null) as iri", "turn as start", "turn + length(text) as stop", "text", "turn % 2 = 0 as known", "if(turn % 4 > 0, role, null) as entity"
+    )
+    relations = t.conversations.selectExpr("conv_id as document_id", "turn as ordinal", "role as subject", "'follows' as predicate", "concat_ws('/', conv_id, turn - 1) as object")
+    return writers.brat_document(rows, relations)
+
+
+@query("SELECT 'documents' AS part, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels WHERE toxic = 1")
+def export_manifest(t: Tables) -> DataFrame:
+    return writers.manifest(documents=t.documents, pages=t.pages, labels=t.labels.where("toxic = 1"))
+
+
+_CHOICES = "c AS (SELECT o_custkey AS branch_id, 'x' || (o_orderkey % 5) AS axis, o_orderpriority AS option FROM orders), h AS (SELECT 'x' || (p_size % 7) AS axis, ['1-URGENT', '2-HIGH', '3-MEDIUM'][p_size % 3 + 1] AS option, sum(p_size % 5 - 2) AS weight FROM part GROUP BY ALL)"
+
+
+@query(f"""WITH {_CHOICES} SELECT branch_id, CASE WHEN count(*) FILTER (weight <> 0) > 0 THEN round(count(*) FILTER (weight > 0) / count(*), 6) END AS affinity FROM c LEFT JOIN h USING (axis, option) GROUP BY 1""")
+def branch_affinity(t: Tables) -> DataFrame:
+    choices = t.orders.selectExpr("o_custkey as branch_id", "concat('x', o_orderkey % 5) as axis", "o_orderpriority as option")
+    history = t.part.selectExpr("concat('x', p_size % 7) as axis", "element_at(array('1-URGENT', '2-HIGH', '3-MEDIUM'), cast(p_size % 3 + 1 as int)) as option", "p_size % 5 - 2 as w")
+    found = decisions.affinity(choices, history.groupBy("axis", "option").agg(F.sum("w").alias("weight")))
+    return found.select("branch_id", F.round("affinity", 6).alias("affinity"))
+
+
+@query("""SELECT o_orderkey || ':' || axis AS id, o_orderkey AS branch_id, status, string_split(axis, ':')[1] AS axis, coalesce(note, '') AS comment FROM (SELECT o_orderkey, ['chosen', 'not_chosen', 'invalid'][o_orderkey % 4 + 1] AS status, CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END AS note,
+unnest(CASE o_orderkey % 3 WHEN 0 THEN [''] WHEN 1 THEN ['kind:a'] ELSE ['kind:a', 'grain'] END) AS axis FROM orders WHERE o_orderkey % 4 < 3)""")
+def decision_record(t: Tables) -> DataFrame:
+    axes = "transform(case o_orderkey % 3 when 0 then array() when 1 then array('kind:a') else array('kind:a', 'grain') end, x -> named_struct('axis', x, 'option', 'o')) as axes"
+    rows = t.orders.selectExpr("o_orderkey as branch_id", "element_at(array('chosen', 'not_chosen', 'invalid', 'proposed'), cast(o_orderkey % 4 + 1 as int)) as status", "if(o_custkey % 2 = 0, o_orderpriority, null) as note", axes)
+    return decisions.decided(rows)
+
+
+@query("""WITH h AS (SELECT o_custkey % 200 AS decision_id, o_orderkey AS branch_id, CASE WHEN o_custkey % 3 = 0 THEN 'chosen' ELSE 'proposed' END AS status FROM orders WHERE o_orderkey % 2 = 0), f AS (SELECT o_custkey % 300 AS decision_id, -o_orderkey AS branch_id, 'proposed' AS status FROM orders WHERE o_orderkey % 5 = 0),
+c AS (SELECT DISTINCT decision_id FROM h WHERE status = 'chosen') SELECT * FROM h WHERE decision_id IN (SELECT * FROM c) OR decision_id NOT IN (SELECT decision_id FROM f) UNION ALL SELECT * FROM f WHERE decision_id NOT IN (SELECT * FROM c)""")
+def persisted_branches(t: Tables) -> DataFrame:
+    held = t.orders.where("o_orderkey % 2 = 0").selectExpr("o_custkey % 200 as decision_id", "o_orderkey as branch_id", "if(o_custkey % 3 = 0, 'chosen', 'proposed') as status")
+    return decisions.unsettled(held, t.orders.where("o_orderkey % 5 = 0").selectExpr("o_custkey % 300 as decision_id", "-o_orderkey as branch_id", "'proposed' as status"))
+
+
+@query("""WITH f AS (SELECT * FROM events WHERE event_id % 9 > 0), x AS (SELECT 'document/' || user_id AS g, unnest([{'s': CAST(user_id % 50 AS VARCHAR), 'p': 'prov:wasDerivedFrom', 'o': 'mention/' || event_id}, {'s': 'mention/' || event_id, 'p': 'nif:anchorOf', 'o': event_type},
+{'s': 'mention/' || event_id, 'p': 'itsrdf:taIdentRef', 'o': CASE WHEN event_id % 4 > 0 THEN 'k/' || (event_id % 7) END}]) AS t FROM f) SELECT DISTINCT t.s AS s, t.p AS p, t.o AS o, g FROM x WHERE t.o IS NOT NULL""")
+def mention_quads(t: Tables) -> DataFrame:
+    typed = t.events.selectExpr("user_id % 50 as entity", "event_id as mention_id", "if(event_id % 4 > 0, concat('k/', event_id % 7), null) as iri", "user_id as document_id", "event_type as surface")
+    return graph.provenance(typed, t.events.where("event_id % 9 = 0").select(F.col("event_id").alias("mention_id")))
+
+
+@query("""WITH l AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS kind, CAST(event_id AS VARCHAR) AS summary FROM events WHERE event_id % 2 = 0),
+n AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, CAST(event_id AS VARCHAR)) AS n, event_type AS kind, CAST(event_id AS VARCHAR) AS summary FROM events WHERE event_id % 2 = 1)
+SELECT * FROM l UNION ALL SELECT session_id, coalesce((SELECT max(seq) FROM l WHERE l.session_id = n.session_id), 0) + n, kind, summary FROM n""")
+def session_log(t: Tables) -> DataFrame:
+    log = t.events.where("event_id % 2 = 0").selectExpr("user_id as session_id", "cast(row_number() over (partition by user_id order by event_id) as bigint) as seq", "event_type as kind", "cast(event_id as string) as summary")
+    return workflow.logged(log, t.events.where("event_id % 2 = 1").selectExpr("user_id as session_id", "event_type as kind", "cast(event_id as string) as summary", "ts as at"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from conceptflow.functions.text import curie
+
 
 def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt", "text", "md")) -> DataFrame:
     """(path, content) of files with one of the suffixes, in any case, below ``root``."""
@@ -71,6 +73,32 @@ def webanno(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("file", "g", "iri").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("g")
 
 
+def knowtator_skipped(spark: SparkSession, path: str) -> int:
+    """How many annotations are left out because their spans are discontinuous or missing."""
+    notes = spark.read.format("xml").option("rowTag", "annotation").schema("mention struct<_id: string>, span array<struct<_start: int, _end: int>>").load(path)
+    return notes.where(F.coalesce(F.size("span"), F.lit(0)) != 1).count()
+
+
+def webanno_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): documents rebuilt from their tokens' places; gaps are blanks, and a gap before a new sentence is a line end or two."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.split("value", "\t").alias("c")).where(F.size("c") >= 3)
+    place = F.split(F.col("c")[1], "-")
+    tokens = rows.select("file", F.split(F.col("c")[0], "-")[0].cast("int").alias("sentence"), place[0].cast("int").alias("start"), place[1].cast("int").alias("stop"), F.col("c")[2].alias("token")).where("start is not null")
+    order = Window.partitionBy("file").orderBy("start")
+    before = F.coalesce(F.lag("stop").over(order), F.lit(0))
+    gap = F.greatest(F.col("start") - before, F.lit(0))
+    ends = F.when(F.lag("sentence").over(order) != F.col("sentence"), F.least(gap, F.lit(2))).otherwise(0)
+    size = F.col("stop") - F.col("start")
+    piece = F.concat(F.repeat(F.lit(" "), (gap - ends).cast("int")), F.repeat(F.lit("\n"), ends.cast("int")), F.rpad("token", size, " "))
+    pieces = tokens.select("file", "start", piece.alias("piece"))
+    return pieces.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("text"))
+
+
+def curies(inventory: DataFrame) -> DataFrame:
+    """``inventory`` with iris as CURIEs where their last part reads PREFIX_digits."""
+    return inventory.withColumn("iri", curie(F.col("iri")))
+
+
 #: Readers of annotations by format.
 READERS = {"knowtator": knowtator, "brat": brat, "webanno": webanno}
 RETENTION = "doc_id string, markdown_hash string, mentions array<struct<id: string, page: int, span: array<int>, text: string, gold_class: string, in_inventory: boolean, entity_id: string>>, relations array<struct<subject: string, predicate: string, object: string, evidence_page: int>>"

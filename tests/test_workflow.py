@@ -188,3 +188,15 @@ def test_folding_and_names(spark):
     assert df.select(tx.fold(F.col("t"))).first()[0] == "Ec Angstrom e ﬁ"
     names = spark.createDataFrame([("http://www.w3.org/2002/07/owl#Class", None), ("http://x/y#z", None), ("http://x/y/", "Y")], "iri string, label string")
     assert [r[0] for r in names.select(workflow.short_name(F.col("iri"), F.col("label"))).collect()] == ["owl:Class", "…z", "Y"]
+
+
+def test_readers_rebuild_and_count(spark, tmp_path):
+    from conceptflow.sources import readers
+
+    (tmp_path / "d.tsv").write_text("#T_SP=x\n\n#Text=ab cd\n1-1\t0-2\tab\t_\n1-2\t3-5\tcd\tK[1]\n\n2-1\t7-9\tef\tK[1]\n")
+    assert [r["text"] for r in readers.webanno_text(spark, str(tmp_path / "d.tsv")).collect()] == ["ab cd\n\nef"]
+    span = '<span start="0" end="1" />'
+    (tmp_path / "k.xml").write_text("<annotations>" + "".join(f'<annotation><mention id="m{k}" />{span * k}</annotation>' for k in (1, 2, 0)) + "</annotations>")
+    assert readers.knowtator_skipped(spark, str(tmp_path / "k.xml")) == 2
+    inventory = spark.createDataFrame([("http://x/CL_0000001",), ("http://x/other",)], "iri string")
+    assert rows(readers.curies(inventory)) == [("CL:0000001",), ("other",)]
