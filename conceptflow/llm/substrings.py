@@ -136,25 +136,25 @@ def _first_owners(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("k", "k2").agg(F.min("doc_id").alias("doc_id"))
 
 
-def _later(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows`` with ``least``, the smallest ``name`` among rows of equal ``keys``, where there are several; a hot key's rows are dealt over tasks."""
-    sizes = rows.groupBy(*keys).agg(F.min(name).alias("least"), F.max(name).alias("most"), F.count("*").alias("n")).where("least < most")
-    sizes = cut(sizes.select(*keys, "least", "n"))
-    return spread_join(rows, sizes.drop("n"), keys, sizes.select(*keys, "n"))
-
-
 def _places(keyed: DataFrame, owners: DataFrame, width: int) -> DataFrame:
     """(doc_id, k, at: array<int>): starts of windows, in texts' first owners, that also start in a smaller document."""
     half = (width + 1) // 2
     first = shelve(keyed.select("k", "text").mapInArrow(arrow.steady(_marked(half, width)), "k bigint, h bigint, at int"))
-    alive = shelve(_later(first, ["h"], "k").groupBy("k").agg(F.collect_set("at").alias("at")))
+    shared = first.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.count("*").alias("n")).where("least < most")
+    shared = cut(shared.select("h", "n"))
+    release(first.sparkSession)
+    # A passage in very many texts: its marks are dealt over tasks.
+    alive = shelve(spread_join(first, shared.select("h"), ["h"], shared).groupBy("k").agg(F.collect_set("at").alias("at")))
+    del shared
     discard(first)
     release(alive.sparkSession)
     # Texts that share k without being equal are both looked at: marks only choose what level 2 compares in full.
-    alive = owners.select("k", "k2", "doc_id").join(alive, "k").select("doc_id", "k", "k2", "at")
-    rows = keyed.join(alive, ["doc_id", "k", "k2"]).select("doc_id", "text", "at", "k")
+    alive = owners.select("k", "doc_id").join(alive, "k").select("doc_id", "k", "at")
+    rows = keyed.select("doc_id", "k", "text").join(alive, ["doc_id", "k"]).select("doc_id", "text", "at", "k")
     second = rows.mapInArrow(arrow.steady(_doubled(half, width)), "doc_id bigint, k bigint, h bigint, g bigint, at int")
-    return _later(second, ["h", "g"], "doc_id").where("least < doc_id").groupBy("doc_id", "k").agg(F.collect_set("at").alias("at"))
+    repeated = second.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    later = second.join(repeated.select("h", "g", "least"), ["h", "g"]).where("least < doc_id")
+    return later.groupBy("doc_id", "k").agg(F.collect_set("at").alias("at"))
 
 
 def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
