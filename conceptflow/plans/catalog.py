@@ -292,7 +292,13 @@ def page_titles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", title.alias("title"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("bigint").alias("n_text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS i, ordinal, CASE WHEN contains(line, ' | ') THEN 'table' WHEN length(line) < 40 THEN 'caption' ELSE 'paragraph' END AS kind, length(line) AS n FROM lines WHERE trim(line) <> ''),
+p AS (SELECT *, lead(kind) OVER w AS k2, lead(n) OVER w AS n2 FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, CASE WHEN least(kind, k2) = 'caption' AND greatest(kind, k2) = 'table' THEN 2 ELSE 1 END AS w, CASE WHEN least(kind, k2) = 'caption' AND greatest(kind, k2) = 'table' THEN n + n2 ELSE n END AS s FROM p),
+r AS (SELECT doc_id, i, w, 0 AS chunk, CASE WHEN s >= 800 THEN 1 ELSE 0 END AS next, CASE WHEN s >= 800 THEN 0 ELSE s END AS held FROM g WHERE i = 1
+UNION ALL SELECT doc_id, i, w, c AS chunk, CASE WHEN h + s >= 800 THEN c + 1 ELSE c END AS next, CASE WHEN h + s >= 800 THEN 0 ELSE h + s END AS held
+FROM (SELECT g.doc_id, g.i, g.w, g.s, r.next + CASE WHEN r.held > 0 AND r.held + g.s > 1200 THEN 1 ELSE 0 END AS c, CASE WHEN r.held > 0 AND r.held + g.s > 1200 THEN 0 ELSE r.held END AS h FROM r JOIN g ON g.doc_id = r.doc_id AND g.i = r.i + r.w))
+SELECT u.doc_id AS document_id, u.ordinal, CAST(chunk AS INTEGER) AS chunk FROM r JOIN u ON u.doc_id = r.doc_id AND u.i >= r.i AND u.i < r.i + r.w""")
 def chunked_blocks(t: Tables) -> DataFrame:
     return folds.chunks(_blocks(t), 800, 1200)
 
