@@ -12,6 +12,9 @@ are in one component already; a pair is met in the first band it shares. Before
 texts are fetched for it, an exact bound decides: each shingle sets one of 1,024
 bits, and a bit that one text has and the other hasn't is a shingle that they
 don't share. A pair whose bits rule out the similarity never leaves the join.
+
+The many steps leave plans, broadcasts and map outputs on the driver. Each is
+released when it is done, so that the driver's heap doesn't grow with their number.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from conceptflow.llm import arrow
 from conceptflow.llm.skew import spread_join
 from conceptflow.llm.textscan import ascii_lower, shingle_bytes, space_words, word_hashes
 from conceptflow.operators.components import connected_components
-from conceptflow.session import cut, discard, shelve
+from conceptflow.session import cut, discard, release, shelve
 
 #: Least similarity of a link.
 LEAST = 0.8
@@ -146,17 +149,26 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = LEAST) -> Data
     marked = shelve(hashed.mapInArrow(arrow.steady(_marked(shingle)), "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>, size int, bits array<bigint>"))
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.count("*").alias("n")))
     keyed = nodes.select("node", F.posexplode("bands").alias("place", "key"))
+    release(docs.sparkSession)
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     met = shelve(keyed.join(shared, "key").join(nodes.select("node", "bands", "size", "bits"), "node"))
     busy = shelve(met.select("node").distinct())
     texts = shelve(own.mapInArrow(arrow.steady(_noded), "node bigint, text binary").dropDuplicates(["node"]).join(busy, "node", "left_semi"))
+    release(docs.sparkSession)
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     chained = met.select("node", F.lag("node").over(order).alias("before")).where("before is not null")
     pairs = cut(chained.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct())
     links = _links(pairs, texts, shingle, least)
-    rest = _rest(met, connected_components(links), least).join(pairs, ["a", "b"], "left_anti")
-    roots = connected_components(links.unionByName(_links(rest, texts, shingle, least)))
+    release(docs.sparkSession)
+    first = connected_components(links)
+    release(docs.sparkSession)
+    rest = _rest(met, first, least).join(pairs, ["a", "b"], "left_anti")
+    release(docs.sparkSession)
+    more = _links(rest, texts, shingle, least)
+    release(docs.sparkSession)
+    roots = connected_components(links.unionByName(more))
     discard(met, busy, texts)
+    release(docs.sparkSession)
     grouped = nodes.select("node", "name").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = grouped.groupBy("root").agg(F.min("name").alias("component_id"))
     named = grouped.join(names, "root").select("node", "root", "component_id")
