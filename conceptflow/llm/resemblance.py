@@ -1,14 +1,17 @@
-"""Near copies by the Jaccard similarity of shingle sets: MinHash bands find candidates, whole texts decide.
+"""Near copies by SimHash and the Jaccard similarity of shingle sets: fingerprints and MinHash bands find candidates, whole texts decide.
 
-A pair at similarity s shares a band of ``ROWS`` minima with probability
+Candidates are, first, texts whose SimHash fingerprints differ in at most four
+bits, by ``simhash.links``. Most pairs at 0.8 differ in more bits, so MinHash
+bands find what is beyond that radius. A pair at similarity s shares a band of ``ROWS`` minima with probability
 s ** ROWS, so with ``BANDS`` bands a pair at 0.8 is missed about once in 16,000
 times. Every link is verified on the shingles themselves. Texts with the same
 words are one node, so exact copies cost nothing.
 
-Only components are wanted, so not every pair of a bucket needs a test. First
-each bucket is one chain in pseudo-random order. Of what is still in several
+Only components are wanted, so not every pair needs a test. First each
+fingerprint is tested against the smallest one near it, and each bucket (of a
+band, or of one fingerprint) is one chain in pseudo-random order. Of what is still in several
 components, every remaining pair is tested, but for those of two nodes that
-are in one component already; a pair is met in the first band it shares. Before
+are in one component already; a pair of a bucket is met in the first band it shares. Before
 texts are fetched for it, an exact bound decides: each shingle sets one of 1,024
 bits, and a bit that one text has and the other hasn't is a shingle that they
 don't share. A pair whose bits rule out the similarity never leaves the join.
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conceptflow.llm import arrow
+from conceptflow.llm import arrow, simhash
 from conceptflow.llm.skew import spread_join
 from conceptflow.llm.textscan import ascii_lower, shingle_bytes, space_words, word_hashes
 from conceptflow.operators.components import connected_components
@@ -82,11 +85,14 @@ def _marked(shingle: int):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [shingles(t, shingle) for t in texts]
-            keys = [bands(x).tolist() for x in sets]
+            prints = simhash.fingerprints(texts, shingle)
+            # Texts of one fingerprint share a bucket, like those that share a band.
+            same = np.array([xxhash.xxh3_64_intdigest(p.tobytes(), BANDS) for p in prints], np.uint64).view(np.int64).tolist()
+            keys = [[*bands(x).tolist(), k] if x else [] for x, k in zip(sets, same, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([node(t) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(list(map(len, sets)), pa.int32()), pa.array([bits(x).tolist() for x in sets], pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "node", "bands", "size", "bits"],
+                 pa.array(list(map(len, sets)), pa.int32()), pa.array([bits(x).tolist() for x in sets], pa.list_(pa.int64())), pa.array(prints.view(np.int64))],
+                ["doc_id", "text_hash", "node", "bands", "size", "bits", "fp"],
             )
 
     return scan
@@ -115,6 +121,22 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
     return cut(both.mapInArrow(arrow.steady(_verified(shingle, least)), "a bigint, b bigint"))
 
 
+def _possible(least: float) -> str:
+    """Whether texts with sizes na and nb and bits xa and xb can be similar."""
+    alone = lambda x, y: " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(LONGS))
+    # At most ``common`` shingles are shared; a little slack keeps rounding from ruling out a pair at the edge.
+    common = f"least(na - ({alone('xa', 'xb')}), nb - ({alone('xb', 'xa')}))"
+    return f"{1 + least} * {common} >= {least} * (na + nb) - 1e-6"
+
+
+def _rest_near(near: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs whose fingerprints are linked in ``near``, that are in different components and aren't ruled out by their bits."""
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    x, y = (rooted.select(F.col("fp").alias(f"f{k}"), F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in ("a", "b"))
+    pairs = near.join(x, "fa").join(y, "fb").where(f"ra <> rb and {_possible(least)}")
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def _rest(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs that share a bucket, are in different components and aren't ruled out by their bits. One of each is outside its bucket's largest component."""
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -124,11 +146,7 @@ def _rest(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     few = split.where("not most").select("key", "place", F.col("node").alias("a"), F.col("bands").alias("ka"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("bits").alias("xa"))
     every = split.select("key", F.col("node").alias("b"), F.col("bands").alias("kb"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("bits").alias("xb"), "most")
     first = "array_position(zip_with(ka, kb, (x, y) -> x = y), true) = place + 1"
-    alone = lambda x, y: " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(LONGS))
-    # At most ``common`` shingles are shared; a little slack keeps rounding from ruling out a pair at the edge.
-    common = f"least(na - ({alone('xa', 'xb')}), nb - ({alone('xb', 'xa')}))"
-    possible = f"{1 + least} * {common} >= {least} * (na + nb) - 1e-6"
-    pairs = few.join(every, "key").where(f"ra <> rb and (most or a < b) and {possible} and {first}")
+    pairs = few.join(every, "key").where(f"ra <> rb and (most or a < b) and {_possible(least)} and {first}")
     found = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     discard(split)
     return found
@@ -146,23 +164,31 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = LEAST) -> Data
     arrow.batched(docs.sparkSession)
     own = arrow.id_and_text(docs)
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
-    marked = shelve(hashed.mapInArrow(arrow.steady(_marked(shingle)), "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>, size int, bits array<bigint>"))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.count("*").alias("n")))
+    marked = shelve(hashed.mapInArrow(arrow.steady(_marked(shingle)), "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>, size int, bits array<bigint>, fp bigint"))
+    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.count("*").alias("n")))
     keyed = nodes.select("node", F.posexplode("bands").alias("place", "key"))
     release(docs.sparkSession)
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     met = shelve(keyed.join(shared, "key").join(nodes.select("node", "bands", "size", "bits"), "node"))
-    busy = shelve(met.select("node").distinct())
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    linked = simhash.links(nodes.select("fp").distinct())
+    near = cut(linked.select(F.least("a", "b").alias("fa"), F.greatest("a", "b").alias("fb")).distinct())
+    release(docs.sparkSession)
+    both = near.unionByName(near.select(F.col("fb").alias("fa"), F.col("fa").alias("fb")))
+    close = nodes.join(both.select(F.col("fa").alias("fp")).distinct(), "fp", "left_semi")
+    busy = shelve(met.select("node").unionByName(close.select("node")).distinct())
     texts = shelve(own.mapInArrow(arrow.steady(_noded), "node bigint, text binary").dropDuplicates(["node"]).join(busy, "node", "left_semi"))
     release(docs.sparkSession)
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    chained = met.select("node", F.lag("node").over(order).alias("before")).where("before is not null")
+    x, y = (prints.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("fa", "node"), ("fb", "before")))
+    nearest = both.groupBy("fa").agg(F.min("fb").alias("fb")).join(x, "fa").join(y, "fb").select("node", "before")
+    chained = met.select("node", F.lag("node").over(order).alias("before")).where("before is not null").unionByName(nearest)
     pairs = cut(chained.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct())
     links = _links(pairs, texts, shingle, least)
     release(docs.sparkSession)
     first = connected_components(links)
     release(docs.sparkSession)
-    rest = _rest(met, first, least).join(pairs, ["a", "b"], "left_anti")
+    rest = _rest(met, first, least).unionByName(_rest_near(near, close, first, least)).distinct().join(pairs, ["a", "b"], "left_anti")
     release(docs.sparkSession)
     more = _links(rest, texts, shingle, least)
     release(docs.sparkSession)

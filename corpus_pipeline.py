@@ -22,6 +22,7 @@ def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (Jaccard of five-word shingles 0.8 or more): that of the smallest doc_id; rows without id stay.
 
+    Candidates come from SimHash fingerprints and, beyond their radius, from MinHash bands; each link is checked on whole texts.
     Rows of one doc_id with different texts are documents of their own: each
     stands or falls with its group. Of equal rows one stays.
     """
