@@ -12,7 +12,7 @@ fingerprint is tested against the smallest one near it, and each bucket (of a
 band, or of one fingerprint) is one chain in pseudo-random order. Of what is still in several
 components, every remaining pair is tested, but for those of two nodes that
 are in one component already; a pair of a bucket is met in the first band it shares. Before
-texts are fetched for it, an exact bound decides: each shingle sets one of 1,024
+texts are fetched for a pair of a bucket, an exact bound decides: each shingle sets one of 1,024
 bits, and a bit that one text has and the other hasn't is a shingle that they
 don't share. A pair whose bits rule out the similarity never leaves the join.
 
@@ -23,11 +23,12 @@ released when it is done, so that the driver's heap doesn't grow with their numb
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conceptflow.llm import arrow, simhash
@@ -121,19 +122,11 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
     return cut(both.mapInArrow(arrow.steady(_verified(shingle, least)), "a bigint, b bigint"))
 
 
-def _possible(least: float) -> str:
-    """Whether texts with sizes na and nb and bits xa and xb can be similar."""
-    alone = lambda x, y: " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(LONGS))
-    # At most ``common`` shingles are shared; a little slack keeps rounding from ruling out a pair at the edge.
-    common = f"least(na - ({alone('xa', 'xb')}), nb - ({alone('xb', 'xa')}))"
-    return f"{1 + least} * {common} >= {least} * (na + nb) - 1e-6"
-
-
-def _rest_near(near: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs whose fingerprints are linked in ``near``, that are in different components and aren't ruled out by their bits."""
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    x, y = (rooted.select(F.col("fp").alias(f"f{k}"), F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in ("a", "b"))
-    pairs = near.join(x, "fa").join(y, "fb").where(f"ra <> rb and {_possible(least)}")
+def _rest_near(near: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs whose fingerprints are linked in ``near`` and that are in different components."""
+    rooted = cut(nodes.select("fp", "node").join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root")))
+    x, y = (rooted.select(F.col("fp").alias(f"f{k}"), F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b"))
+    pairs = near.join(x, "fa").join(y, "fb").where("ra <> rb")
     return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -146,12 +139,28 @@ def _rest(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     few = split.where("not most").select("key", "place", F.col("node").alias("a"), F.col("bands").alias("ka"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("bits").alias("xa"))
     every = split.select("key", F.col("node").alias("b"), F.col("bands").alias("kb"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("bits").alias("xb"), "most")
     first = "array_position(zip_with(ka, kb, (x, y) -> x = y), true) = place + 1"
-    pairs = few.join(every, "key").where(f"ra <> rb and (most or a < b) and {_possible(least)} and {first}")
+    alone = lambda x, y: " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(LONGS))
+    # At most ``common`` shingles are shared; a little slack keeps rounding from ruling out a pair at the edge.
+    common = f"least(na - ({alone('xa', 'xb')}), nb - ({alone('xb', 'xa')}))"
+    possible = f"{1 + least} * {common} >= {least} * (na + nb) - 1e-6"
+    pairs = few.join(every, "key").where(f"ra <> rb and (most or a < b) and {possible} and {first}")
     found = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     discard(split)
     return found
 
 
+@contextmanager
+def unconstrained(spark: SparkSession) -> Iterator[None]:
+    """Plans without inferred constraints: a checkpoint hands them on, so that they multiply on the driver with every round. Results are the same."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = LEAST) -> DataFrame:
     """(doc_id, text_hash, root, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -161,6 +170,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = LEAST) -> Data
     rows with a null doc_id link like others but give no component its name
     (null if all are null). An empty table gives no rows.
     """
+    with unconstrained(docs.sparkSession):
+        return _near_copies(docs, shingle, least)
+
+
+def _near_copies(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     arrow.batched(docs.sparkSession)
     own = arrow.id_and_text(docs)
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
@@ -188,7 +202,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = LEAST) -> Data
     release(docs.sparkSession)
     first = connected_components(links)
     release(docs.sparkSession)
-    rest = _rest(met, first, least).unionByName(_rest_near(near, close, first, least)).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = _rest(met, first, least).unionByName(_rest_near(near, close, first)).distinct().join(pairs, ["a", "b"], "left_anti")
     release(docs.sparkSession)
     more = _links(rest, texts, shingle, least)
     release(docs.sparkSession)
