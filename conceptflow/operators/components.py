@@ -3,8 +3,12 @@
 Each round maps every node to the neighbour (or itself) with the smallest
 pseudo-random rank and relabels the links; the expected number of nodes that
 still have links falls by a constant factor, so rounds grow with the logarithm
-of the input. Only min-aggregates and equi-joins are used, every round is cut
-by a reliable checkpoint, and nothing but a link count reaches the driver.
+of the input. Only min-aggregates and equi-joins are used, every round is shelved
+as a Parquet table, and nothing but whether links are left reaches the driver.
+
+A checkpoint would hand the planner's size estimate on, and that of a join is
+the product of its sides: the number's digits would treble with every round and
+fill the driver's heap after some 15. A table's size is that of its files.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptflow.session import cut
+from conceptflow.session import cut, discard, shelve
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +51,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     a node to itself, repeated links and nulls are ignored; no links: no rows.
     """
     a, b = links.columns
-    edges = cut(
+    edges = shelve(
         links.select(F.col(a).alias("a"), F.col(b).alias("b"))
         .where("a is not null and b is not null and a <> b")
         .mapInArrow(_forest, "a bigint, b bigint")
@@ -57,18 +61,25 @@ def connected_components(links: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c).alias("r"), F.col(c).alias("v"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.first(rank("a")).alias("own"))
-        step = cut(best.select(F.col("a").alias("node"), F.least("m", "own")["v"].alias("to")))
+        step = shelve(best.select(F.col("a").alias("node"), F.least("m", "own")["v"].alias("to")))
         maps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = cut(
+        done, edges = edges, shelve(
             edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
+        discard(done)
+    discard(edges)
     if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    root = maps[-1].select(F.col("node"), F.col("to").alias("root"))
-    for step in reversed(maps[:-1]):
+        return links.sparkSession.createDataFrame([], "node bigint, root bigint")
+    last = maps.pop()
+    root = last.select(F.col("node"), F.col("to").alias("root"))
+    while maps:
+        step = maps.pop()
         later = root.select(F.col("node").alias("to"), F.col("root"))
-        root = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-        root = cut(root)
+        done, last = (last, step), shelve(step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+        root = last
+        discard(*done)
+    root = cut(root)
+    discard(last)
     return root
