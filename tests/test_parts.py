@@ -1,10 +1,12 @@
 """Work of large groups is dealt over tasks, and the results stay those of the plain plan."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conceptflow.operators import parts
+from conceptflow.operators import parts, resolution
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,3 +34,53 @@ def test_paired_is_a_join(spark, block_rows):
 def test_pairs_of_one_name_come_out_of_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(parts, "BLOCK_ROWS", 2, raising=False)
     assert tasks(entry.queries()["decision_cascade"](spark, DATA).join(F.broadcast(spark.read.parquet(f"{DATA}/part.parquet")), F.col("l") == F.col("p_partkey")), "p_name") > 1
+
+
+def _case(spark):
+    rng = random.Random(5)
+    names = ["a b", "c", "d e", "f", None]
+    people = [(i, rng.choice("XYZ"), "The x" if i % 7 == 0 else "Ab Cd" if i % 2 else "ab", rng.choice(names), "en" if i % 3 else "es", rng.choice(["k", "j", None]), {p: rng.choice("12") for p in "pq" if rng.random() < 0.6}) for i in range(40)]
+    mentions = spark.createDataFrame(people, "id bigint, document_id string, text string, surface string, language string, class string, keys map<string,string>")
+    synonyms = spark.createDataFrame([("a b", "c"), ("c", "a b"), ("d e", "d e"), ("f", "c")], "name string, other string")
+    near = spark.createDataFrame([(1, 2, 0.9), (2, 5, 0.7), (3, 30, 0.1), (9, 4, 0.8), (7, 7, 1.0), (10, 20, 0.95)], "a bigint, b bigint, score double")
+    return people, mentions, synonyms, near
+
+
+@pytest.mark.parametrize("block_rows", [4, 16_384])
+def test_candidate_pairs_against_loops(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(parts, "BLOCK_ROWS", block_rows)
+    people, mentions, synonyms, near = _case(spark)
+    declared, close = {tuple(r) for r in synonyms.collect()}, {(r["a"], r["b"]) for r in near.collect()}
+    wanted = []
+    for x in people:
+        for y in people:
+            sources = {"neighbour"} if (x[0], y[0]) in close else set()
+            if x[0] < y[0]:
+                sources |= {s for s, held in (("surface", x[3] and x[3] == y[3]), ("key", set(x[6].items()) & set(y[6].items())), ("synonym", {(x[3], y[3]), (y[3], x[3])} & declared)) if held}
+            if sources and x[1] != y[1]:
+                wanted.append((x[0], y[0], ",".join(sorted(sources))))
+    found = resolution.candidate_pairs(mentions, near, synonyms)
+    assert rows(found.select("a", "b", F.array_join("sources", ","))) == sorted(wanted)
+    assert rows(resolution.candidate_pairs(mentions, near, synonyms, ",")) == sorted(wanted)
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Each source's pairs leave their join as rows of the result."""
+    _, mentions, synonyms, near = _case(spark)
+    assert resolution.candidate_pairs(mentions, near, synonyms)._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_resolved_is_resolve_of_all_candidates(spark):
+    _, mentions, synonyms, near = _case(spark)
+    keys = spark.createDataFrame([("k", ["p", "q"]), ("j", ["q"])], "class string, properties array<string>")
+    pairs = resolution.candidate_pairs(mentions, near, synonyms)
+    assert rows(resolution.resolved(mentions, near, synonyms, keys, 0.8, 0.5)) == rows(resolution.resolve(pairs, mentions, synonyms, keys, near, 0.8, 0.5))
+
+
+@pytest.mark.parametrize("left, right, wanted", [("map('p', 'a', 'q', null)", "map('p', 'a', 'q', 'b')", None), ("map('p', 'x', 'q', null)", "map('p', 'a', 'q', 'b')", False), ("map('p', 'a', 'q', 'b')", "map('q', 'b', 'p', 'a')", True), ("map('p', 'a')", "map('p', 'a', 'q', 'b')", None)])
+def test_compiled_verdict_is_key_verdict(spark, left, right, wanted):
+    one = resolution._keyed(spark.sql(f"select {left} as keys, array('p', 'q') as properties"))
+    two = resolution._keyed(spark.sql(f"select {right} as keys"))
+    both = one.select([F.col(c).alias(c + "1") for c in one.columns]).crossJoin(two.select([F.col(c).alias(c + "2") for c in two.columns]))
+    plain = resolution.key_verdict(F.col("properties1"), F.col("keys1"), F.col("keys2"))
+    assert tuple(both.select(resolution._verdict(), plain).first()) == (wanted, wanted)
