@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conceptflow.operators import parts, resolution
+from conceptflow.operators import graph, parts, resolution
 
 DATA = "/root/testdata/sf0.001"
 
@@ -84,3 +84,11 @@ def test_compiled_verdict_is_key_verdict(spark, left, right, wanted):
     both = one.select([F.col(c).alias(c + "1") for c in one.columns]).crossJoin(two.select([F.col(c).alias(c + "2") for c in two.columns]))
     plain = resolution.key_verdict(F.col("properties1"), F.col("keys1"), F.col("keys2"))
     assert tuple(both.select(resolution._verdict(), plain).first()) == (wanted, wanted)
+
+
+def test_diff_sends_no_graph_to_all_tasks(spark):
+    found = entry.queries()["semantic_diff"](spark, DATA)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    one = spark.createDataFrame([("a", "p", "b"), ("a", "p", None), ("a", "rdfs:label", "x"), ("a", "rdfs:comment", "y"), ("c", "p", "d"), ("c", "p", "d")], "s string, p string, o string")
+    two = spark.createDataFrame([("a", "p", "c"), ("a", "p", None), ("a", "rdfs:label", "z"), ("c", "p", "d")], "s string, p string, o string")
+    assert rows(graph.diff(one, two)) == [("added", "a", "p", "c"), ("label", "a", "rdfs:label", "x"), ("label", "a", "rdfs:label", "z"), ("removed", "a", "p", "b")]
