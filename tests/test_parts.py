@@ -118,3 +118,18 @@ def test_renamed_blanks_leaves_little_on_disk(spark, tmp_path):
     if folder.isDefined():
         spark.sparkContext.setCheckpointDir(folder.get())
     assert written < 600_000  # two logics of 4,500 triples and their labels; all rounds of four labellings before
+
+
+def test_inherited_disjointness_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(parts, "BLOCK_ROWS", 2)
+    above = {"a": [], "b": [], "c": ["a"], "d": ["b"], "e": ["a", "b"], "f": ["c"], "g": ["d", "h"], "h": [], "i": ["h"], "j": ["f"]}
+    disjoint = [("a", "b"), ("h", "a"), ("b", "a"), ("c", "h")]
+
+    def up(x):
+        return {x}.union(*[up(y) for y in above[x]])
+
+    wanted = {(x, y) for x in above for y in above if x < y and any((p in up(x) and q in up(y)) or (q in up(x) and p in up(y)) for p, q in disjoint)}
+    edges = spark.createDataFrame([(x, y) for x, ys in above.items() for y in ys], "child string, parent string")
+    found = graph.incompatible(spark.createDataFrame(disjoint, "a string, b string"), graph.ancestors(edges))
+    assert rows(found) == sorted(wanted)
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"  # each pair is made once
