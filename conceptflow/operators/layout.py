@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conceptflow.functions import text as tx
+from conceptflow.operators import parts
 
 
 def reading_order(blocks: DataFrame, width: float) -> DataFrame:
@@ -29,7 +30,8 @@ def citations(blocks: DataFrame) -> DataFrame:
     captions = blocks.where("block_type = 'caption'").select("document_id", F.col("ordinal").alias("caption"), number.alias("number")).where("number is not null")
     numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(tx.TABLE_CITATION), 1))
     citing = blocks.where("block_type = 'paragraph'").select("document_id", F.col("ordinal").alias("paragraph"), F.explode(numbers).alias("number"))
-    return captions.join(citing, ["document_id", "number"]).select("document_id", "caption", "paragraph")
+    # A long document may cite one number all over: pairs of blocks of its rows are dealt over tasks.
+    return parts.paired(captions, citing, ["document_id", "number"], "caption", "paragraph").select("document_id", "caption", "paragraph")
 
 
 def table_gaps(blocks: DataFrame) -> DataFrame:

@@ -133,3 +133,9 @@ def test_inherited_disjointness_against_loops(spark, monkeypatch):
     found = graph.incompatible(spark.createDataFrame(disjoint, "a string, b string"), graph.ancestors(edges))
     assert rows(found) == sorted(wanted)
     assert found._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"  # each pair is made once
+
+
+def test_citations_of_one_number_come_out_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(parts, "BLOCK_ROWS", 2, raising=False)
+    found = entry.queries()["caption_citations"](spark, DATA)
+    assert tasks(found, "document_id") > 1
