@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conceptflow.functions import text as tx
+from conceptflow.operators import parts
 from conceptflow.operators.components import connected_components
 from conceptflow.operators.decisions import diagnoses
 
@@ -102,7 +102,7 @@ def assembled(proposals: DataFrame, judgements: DataFrame, labels: DataFrame) ->
 
 def touching(conflicts: DataFrame) -> DataFrame:
     """(conflict, decision): conflicts (conflict bigint, axiom) that share an axiom are one decision, named by its smallest conflict."""
-    firsts = conflicts.groupBy("axiom").agg(F.min("conflict").alias("first"))
+    firsts = conflicts.groupBy("axiom").agg(F.min("conflict").alias("first"), F.max("conflict").alias("last")).where("first < last")
     links = conflicts.join(firsts, "axiom").select(F.col("conflict").alias("a"), F.col("first").alias("b"))
     roots = connected_components(links)
     names = roots.groupBy("root").agg(F.least(F.min("node"), F.min("root")).alias("decision"))
@@ -110,23 +110,26 @@ def touching(conflicts: DataFrame) -> DataFrame:
     return conflicts.select("conflict").distinct().join(named, "conflict", "left").select("conflict", F.coalesce("decision", "conflict").alias("decision"))
 
 
+def _ways(rows: list[tuple]) -> list[tuple]:
+    """The options of one decision's rows (decision, conflict, axiom)."""
+    held: dict[int, set] = {}
+    for _, conflict, axiom in rows:
+        held.setdefault(conflict, set()).add(axiom)
+    if len(held) == 1:
+        found = [[axiom] for axiom in next(iter(held.values())) if axiom is not None]  # a conflict on its own is settled by any one of its axioms
+    else:
+        found = sorted(sorted(x) for x in diagnoses([frozenset(c) for c in held.values()]))
+    return [(rows[0][0], option) for option in found] if len(found) > 1 else []
+
+
 def axes(conflicts: DataFrame) -> DataFrame:
     """(decision, option: array<string>): the smallest sets of axioms that settle a decision's conflicts, where there are two ways out or more.
 
-    One decision's conflicts, which share axioms, are folded in one task.
+    One decision's conflicts, which share axioms, are folded in one task, and a task streams over its decisions.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        found = diagnoses([frozenset(part.axiom) for _, part in rows.groupby("conflict")])
-        options = sorted(sorted(x) for x in found) if len(found) > 1 else []
-        return pd.DataFrame({"decision": pd.Series([rows.decision.iloc[0]] * len(options), dtype="int64"), "option": pd.Series(options, dtype=object)})
-
-    rows = conflicts.select("conflict", "axiom").distinct().join(touching(conflicts), "conflict")
-    several = rows.where("conflict <> decision").select("decision").distinct()
-    # A conflict on its own is settled by any one of its axioms.
-    alone = rows.join(several, "decision", "left_anti").groupBy("decision").agg(F.collect_list("axiom").alias("a")).where("size(a) > 1")
-    folded = rows.join(several, "decision", "left_semi").groupBy("decision").applyInPandas(fold, "decision bigint, option array<string>")
-    return alone.select("decision", F.explode("a").alias("x")).select("decision", F.array("x").alias("option")).unionByName(folded)
+    rows = conflicts.select("conflict", "axiom").distinct()
+    named = rows.join(touching(rows), "conflict").select("decision", F.col("conflict").cast("bigint").alias("conflict"), "axiom")
+    return parts.folded(named, "decision", ["conflict", "axiom"], _ways, "decision bigint, option array<string>")
 
 
 def branches(options: DataFrame, most: int) -> DataFrame:

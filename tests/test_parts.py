@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conceptflow.operators import graph, parts, resolution
+from conceptflow.operators import graph, parts, passages, resolution
+from conceptflow.operators.decisions import diagnoses
 
 DATA = "/root/testdata/sf0.001"
 
@@ -139,3 +140,15 @@ def test_citations_of_one_number_come_out_of_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(parts, "BLOCK_ROWS", 2, raising=False)
     found = entry.queries()["caption_citations"](spark, DATA)
     assert tasks(found, "document_id") > 1
+
+
+def test_axes_stream_over_decisions(spark):
+    rng = random.Random(3)
+    conflicts = [(10 * d + c, f"{d}/{rng.randrange(4)}") for d in range(300) for c in range(rng.choice([1, 2, 3])) for _ in range(2)]
+    groups = {}
+    for c, decision in rows(passages.touching(spark.createDataFrame(conflicts, "conflict bigint, axiom string"))):
+        groups.setdefault(decision, []).append(frozenset(a for k, a in conflicts if k == c))
+    wanted = [(d, sorted(x)) for d, sets in groups.items() for found in [diagnoses(sets)] if len(found) > 1 for x in found]
+    found = passages.axes(spark.createDataFrame(conflicts, "conflict bigint, axiom string"))
+    assert rows(found) == sorted(wanted)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()  # no table of its own for each decision
