@@ -7,6 +7,7 @@ grows with the corpus.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conceptflow.functions import text as tx
+from conceptflow.operators import parts
 from conceptflow.session import cut
 
 
@@ -55,12 +57,12 @@ def chunks(blocks: DataFrame, target: int, most: int) -> DataFrame:
     """(document_id, ordinal, chunk) of the usable blocks of every document."""
     usable = blocks.where("not is_boilerplate and block_type <> 'unparsed' and trim(text) <> ''")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        return rows[["document_id", "ordinal"]].assign(chunk=chunk_rows(rows.block_type.tolist(), rows["size"].tolist(), target, most))
+    def fold(rows: list[tuple]) -> Iterator[tuple]:
+        numbers = chunk_rows([r[2] for r in rows], [r[3] for r in rows], target, most)
+        return ((r[0], r[1], n) for r, n in zip(rows, numbers, strict=True))
 
-    narrow = usable.select("document_id", "ordinal", "block_type", F.length("text").alias("size"))
-    return narrow.groupBy("document_id").applyInPandas(fold, "document_id bigint, ordinal int, chunk int")
+    narrow = usable.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("ordinal").cast("int").alias("ordinal"), "block_type", F.length("text").alias("size"))
+    return parts.folded(narrow, "document_id", ["ordinal"], fold, "document_id bigint, ordinal int, chunk int")
 
 
 def batch_numbers(labels: list[str], size: int) -> list[int]:

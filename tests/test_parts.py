@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conceptflow.operators import graph, parts, passages, resolution
+from conceptflow.operators import folds, graph, parts, passages, resolution
 from conceptflow.operators.decisions import diagnoses
 
 DATA = "/root/testdata/sf0.001"
@@ -152,3 +152,16 @@ def test_axes_stream_over_decisions(spark):
     found = passages.axes(spark.createDataFrame(conflicts, "conflict bigint, axiom string"))
     assert rows(found) == sorted(wanted)
     assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()  # no table of its own for each decision
+
+
+def test_chunks_stream_over_documents(spark):
+    rng = random.Random(4)
+    blocks = [(d, o, rng.choice(["paragraph", "table", "caption", "unparsed"]), "x" * rng.randrange(0, 60), rng.random() < 0.1) for d in range(200) for o in range(rng.randrange(1, 12))]
+    rng.shuffle(blocks)
+    wanted = []
+    for d in range(200):
+        own = sorted(b for b in blocks if b[0] == d and not b[4] and b[2] != "unparsed" and b[3])
+        wanted += [(d, b[1], n) for b, n in zip(own, folds.chunk_rows([b[2] for b in own], [len(b[3]) for b in own], 80, 120))]
+    found = folds.chunks(spark.createDataFrame(blocks, "document_id bigint, ordinal int, block_type string, text string, is_boilerplate boolean"), 80, 120)
+    assert rows(found) == sorted(wanted)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
