@@ -180,8 +180,7 @@ def swept(jobs: DataFrame, now: Column, stale_after: str = "INTERVAL 5 MINUTES")
 
 def functional_histogram(triples: DataFrame, unresolved: DataFrame) -> DataFrame:
     """(p, individuals, distribution: map of values -> individuals, excluded): unresolved subjects (s) are counted apart."""
-    marked = triples.join(unresolved.select("s", F.lit(True).alias("u")).distinct(), "s", "left")
-    per = marked.groupBy("p", "s").agg(F.countDistinct("o").alias("k"), F.max("u").alias("u"))
+    per = graph.value_counts(triples, "k").join(unresolved.select("s", F.lit(True).alias("u")).distinct().hint("merge"), "s", "left")
     counts = per.groupBy("p", F.when(F.col("u").isNull(), F.col("k")).alias("k")).agg(F.count("*").alias("n"))
     kept = F.filter(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["k"].isNotNull())
     total = F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0).cast("bigint"))
