@@ -1,12 +1,13 @@
 """Work of large groups is dealt over tasks, and the results stay those of the plain plan."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conceptflow.operators import folds, graph, parts, passages, resolution
+from conceptflow.operators import folds, graph, parts, passages, resolution, workflow
 from conceptflow.operators.decisions import diagnoses
 
 DATA = "/root/testdata/sf0.001"
@@ -165,3 +166,16 @@ def test_chunks_stream_over_documents(spark):
     found = folds.chunks(spark.createDataFrame(blocks, "document_id bigint, ordinal int, block_type string, text string, is_boilerplate boolean"), 80, 120)
     assert rows(found) == sorted(wanted)
     assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _most_tasks(df):
+    """The largest number of tasks that the plan deals rows to by itself."""
+    return max(int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_histogram_tasks_grow_in_number_with_rows(spark, monkeypatch):
+    triples = spark.createDataFrame([("p", i % 40, i % 3) for i in range(400)] + [("q", 1, i) for i in range(400)] + [("q", 2, None)], "p string, s bigint, o bigint")
+    monkeypatch.setattr(parts, "TASK_ROWS", 50)
+    found = workflow.functional_histogram(triples, spark.createDataFrame([(2,), (2,), (99,)], "s bigint"))
+    assert rows(found.select("p", "individuals", F.to_json("distribution"), "excluded")) == [("p", 39, '{"3":39}', 1), ("q", 1, '{"400":1}', 1)]
+    assert _most_tasks(found) == 17  # 801 rows by 50
