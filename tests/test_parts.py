@@ -179,3 +179,11 @@ def test_histogram_tasks_grow_in_number_with_rows(spark, monkeypatch):
     found = workflow.functional_histogram(triples, spark.createDataFrame([(2,), (2,), (99,)], "s bigint"))
     assert rows(found.select("p", "individuals", F.to_json("distribution"), "excluded")) == [("p", 39, '{"3":39}', 1), ("q", 1, '{"400":1}', 1)]
     assert _most_tasks(found) == 17  # 801 rows by 50
+
+
+def test_survey_tasks_grow_in_number_with_rows(spark, monkeypatch):
+    triples = spark.createDataFrame([("p", i % 40, 7) for i in range(400)] + [("q", 1, i) for i in range(400)], "p string, s bigint, o bigint")
+    monkeypatch.setattr(parts, "TASK_ROWS", 50)
+    found = graph.functional_survey(triples)
+    assert rows(found) == [("p", 40, 1, False), ("q", 1, 400, True)]
+    assert _most_tasks(found) == 16
