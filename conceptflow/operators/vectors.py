@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from conceptflow.operators.components import connected_components
 
 NAME_VALUES = 4_000_000
+#: Blocks that a similarity join deals its rows to, their least and greatest length, its tasks at most, and the rows that one task sends out.
+BLOCKS, LEAST_ROWS, MOST_ROWS, MOST_TASKS, SENT_ROWS = 32, 2048, 32_768, 2048, 100_000
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -97,32 +99,49 @@ def typings(ranked: DataFrame, auto: float, grey: float) -> DataFrame:
 
 def _pairs(floor: float):
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
             x, y = (_unit(_rows(t.column("v").combine_chunks())) for t in (left, right))
+            inside = left.column("_b")[0] == left.column("_c")[0]
+            # Single precision rules out what is below the floor by more than it can err; the rest is scored in double precision.
+            u, w, short = x.astype(np.float32), y.astype(np.float32).T, np.float32(floor - 1e-6 - 1.2e-7 * (x.shape[1] + 4))
             for i in range(0, len(x), 512):
-                score = np.round(x[i : i + 512] @ y.T, 6)
-                p, q = np.nonzero((score >= floor) & (a[i : i + 512, None] < b[None, :]))
-                out[0].extend(a[i + p].tolist()), out[1].extend(b[q].tolist()), out[2].extend(score[p, q].tolist())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "score"])
+                p, q = np.nonzero(u[i : i + 512] @ w >= short)
+                few = len(p) <= 512 * len(y) // 256
+                raw = (x[i + p] * y[q]).sum(1) if few else (x[i : i + 512] @ y.T)[p, q]
+                score, one, two = np.round(raw, 6), a[i + p], b[q]
+                kept = (score >= floor) & (one < two if inside else one != two)
+                out[0].append(np.minimum(one, two)[kept]), out[1].append(np.maximum(one, two)[kept]), out[2].append(score[kept])
+        whole = [np.concatenate(c) if c else np.empty(0) for c in out]
+        return pa.table([pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2].astype(np.float64))], ["a", "b", "score"])
 
     return join
 
 
-def similar_pairs(vectors: DataFrame, floor: float, block_rows: int = 2048) -> DataFrame:
+def similar_pairs(vectors: DataFrame, floor: float, block_rows: int | None = None) -> DataFrame:
     """(a, b, score) with a < b and cosine >= ``floor``, exactly: blocks of rows meet pairwise in Arrow.
 
     ``vectors``: (id bigint, v). Rows are spread by a hash of their id over blocks
-    of about ``block_rows``, whatever their number; each pair of blocks is one
-    group, and only real pairs leave it.
+    of about ``block_rows``; each pair of blocks, taken once, is one group, and
+    only real pairs leave it. By default there are up to ``BLOCKS`` blocks of
+    ``LEAST_ROWS`` to ``MOST_ROWS`` rows, so a row is sent out that often at most
+    until blocks are full, and what is shuffled grows with the rows.
     """
-    blocks = 1 + vectors.count() // block_rows
-    spread = vectors.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # New names for both sides: a cogroup of two branches of one table confuses their columns.
-    left = spread.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("_b").alias("_b")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = spread.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("_b").alias("_c")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(_pairs(floor), "a bigint, b bigint, score double")
+    rows = vectors.count()
+    blocks = 1 + rows // (block_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-rows // BLOCKS))))
+    # Dealt first, so that no task repeats more than some of the rows, however few files they come from.
+    even = vectors.repartition(max(vectors.sparkSession.sparkContext.defaultParallelism, rows * (blocks + 1) // SENT_ROWS), "id")
+    spread = even.withColumn("_n", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    n_tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, min(blocks * (blocks + 1) // 2, MOST_TASKS))
+
+    def side(first: str, second: str, low: Column, high: Column) -> DataFrame:
+        # New names for both sides: a cogroup of two branches of one table confuses their columns.
+        own = spread.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("_n").alias(first)).withColumn(second, F.explode(F.sequence(low, high)))
+        return own.repartition(n_tasks, "_b", "_c").groupBy("_b", "_c")
+
+    left, right = side("_b", "_c", F.col("_b"), F.lit(blocks - 1)), side("_c", "_b", F.lit(0), F.col("_c"))
+    return left.cogroup(right).applyInArrow(_pairs(floor), "a bigint, b bigint, score double")
 
 
 def single_link(vectors: DataFrame, threshold: float, min_support: int) -> DataFrame:
