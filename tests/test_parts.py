@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conceptflow.operators import folds, graph, parts, passages, resolution, workflow
+from conceptflow.operators import folds, graph, parts, passages, resolution, vectors, workflow
 from conceptflow.operators.decisions import diagnoses
 
 DATA = "/root/testdata/sf0.001"
@@ -187,3 +188,19 @@ def test_survey_tasks_grow_in_number_with_rows(spark, monkeypatch):
     found = graph.functional_survey(triples)
     assert rows(found) == [("p", 40, 1, False), ("q", 1, 400, True)]
     assert _most_tasks(found) == 16
+
+
+def test_similar_pairs_send_a_row_out_a_bounded_number_of_times(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(300, 6))
+    points[200:] = points[:100]  # copies, whose pairs are many
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    wanted = [(i, j) for i in range(300) for j in range(i + 1, 300) if score[i, j] >= 0.8]
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    for name, value in (("BLOCKS", 5), ("LEAST_ROWS", 8), ("MOST_ROWS", 64)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    found = vectors.similar_pairs(table, 0.8)
+    assert [(a, b) for a, b, _ in rows(found)] == wanted
+    assert [(a, b) for a, b, _ in rows(vectors.similar_pairs(table, 0.8, 7))] == wanted
+    assert _most_tasks(found) == 21  # six blocks meet pairwise, once
