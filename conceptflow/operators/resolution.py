@@ -146,7 +146,11 @@ def reranked(offered: DataFrame, scored: DataFrame, auto: float, grey: float) ->
     ``offered``: (mention_id, iri); ``scored``: (mention_id, iri, name, score), a
     row for each name of a class; a class has its best name's score, ties go to the smaller iri.
     """
-    best = offered.join(scored, ["mention_id", "iri"]).groupBy("mention_id", "iri").agg(F.max("score").alias("score"))
+    # Both lists meet by mention, in tasks of bounded length: one shuffle, no join of all names.
+    one = offered.select("mention_id", "iri", F.lit(True).alias("_offered"), F.lit(None).cast(dict(scored.dtypes)["score"]).alias("score"))
+    both = one.unionAll(scored.select("mention_id", "iri", F.lit(False).alias("_offered"), "score")).where("mention_id is not null and iri is not null")
+    met = parts.dealt(both, "mention_id").groupBy("mention_id", "iri").agg(F.max("score").alias("score"), F.max("_offered").alias("_offered"), F.min("_offered").alias("_unscored"))
+    best = met.where("_offered and not _unscored").select("mention_id", "iri", "score")
     order = Window.partitionBy("mention_id").orderBy(F.desc("score"), "iri")
     ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("runner_up", F.lead("iri").over(order)).where("rank = 1")
     zone = F.when(F.col("score") >= auto, "auto").when(F.col("score") >= grey, "grey").otherwise("discarded")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptflow import ledger
 from conceptflow.functions import text as tx
-from conceptflow.operators import decisions, graph, passages, resolution, sparql, workflow
+from conceptflow.operators import decisions, graph, parts, passages, resolution, sparql, workflow
 from conceptflow.plans.catalog import Tables, query
 from conceptflow.session import shelve
 from conceptflow.sources import writers
@@ -67,7 +67,8 @@ _NAMED = "o AS (SELECT DISTINCT l_orderkey AS mention_id, 'p/' || (l_partkey % 5
 
 
 def _offered(t: Tables) -> tuple[DataFrame, DataFrame]:
-    offered = t.lineitem.select(F.col("l_orderkey").alias("mention_id"), F.concat(F.lit("p/"), (F.col("l_partkey") % 50).cast("string")).alias("iri")).distinct()
+    every = t.lineitem.select(F.col("l_orderkey").alias("mention_id"), F.concat(F.lit("p/"), (F.col("l_partkey") % 50).cast("string")).alias("iri"))
+    offered = parts.dealt(every, "mention_id").distinct()
     names = offered.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
     return offered, names.selectExpr("mention_id", "iri", "cast(k as string) as name", "(mention_id * 13 + cast(substring(iri, 3) as bigint) * (7 + k)) % 101 / 100 as score")
 

@@ -204,3 +204,21 @@ def test_similar_pairs_send_a_row_out_a_bounded_number_of_times(spark, monkeypat
     assert [(a, b) for a, b, _ in rows(found)] == wanted
     assert [(a, b) for a, b, _ in rows(vectors.similar_pairs(table, 0.8, 7))] == wanted
     assert _most_tasks(found) == 21  # six blocks meet pairwise, once
+
+
+def test_reranking_meets_by_mention(spark, monkeypatch):
+    rng = random.Random(6)
+    offered = [(m, f"k{k}") for m in range(100) for k in rng.sample(range(6), 3)] + [(1, "k0"), (1, "k0"), (None, "k1"), (101, None), (102, "k9")]
+    scored = [(m, f"k{k}", f"n{n}", rng.randrange(10) / 10) for m in range(100) for k in range(6) for n in range(2)] + [(103, "k1", "n", 0.9), (1, "k5", "n", None)]
+    best, wanted = {}, []
+    for m, k, _, x in scored:
+        if (m, k) in offered and x is not None:
+            best[m, k] = max(best.get((m, k), 0.0), x)
+    for m in range(100):
+        order = sorted((-x, k) for (n, k), x in best.items() if n == m)
+        zone = "auto" if -order[0][0] >= 0.9 else "grey" if -order[0][0] >= 0.6 else "discarded"
+        wanted.append((m, order[0][1] if zone != "discarded" else None, -order[0][0], zone, order[1][1]))
+    monkeypatch.setattr(parts, "TASK_ROWS", 50)
+    found = resolution.reranked(spark.createDataFrame(offered, "mention_id bigint, iri string"), spark.createDataFrame(scored, "mention_id bigint, iri string, name string, score double"), 0.9, 0.6)
+    assert rows(found) == wanted
+    assert _most_tasks(found) == -(-(len(offered) + len(scored) - 2) // 50)
