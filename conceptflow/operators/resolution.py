@@ -167,7 +167,7 @@ def comparison(ranks: DataFrame) -> DataFrame:
 def redundant(scores: DataFrame, threshold: float) -> DataFrame:
     """(proposal, label, score): proposals whose best existing label reaches the threshold, ties to the smaller label."""
     order = Window.partitionBy("proposal").orderBy(F.desc("score"), "label")
-    return scores.withColumn("n", F.row_number().over(order)).where((F.col("n") == 1) & (F.col("score") >= threshold)).select("proposal", "label", "score")
+    return parts.dealt(scores.select("proposal", "label", "score"), "proposal").withColumn("n", F.row_number().over(order)).where((F.col("n") == 1) & (F.col("score") >= threshold)).select("proposal", "label", "score")
 
 
 def orphan_candidates(scores: DataFrame, floor: float, n: int) -> DataFrame:

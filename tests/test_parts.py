@@ -222,3 +222,12 @@ def test_reranking_meets_by_mention(spark, monkeypatch):
     found = resolution.reranked(spark.createDataFrame(offered, "mention_id bigint, iri string"), spark.createDataFrame(scored, "mention_id bigint, iri string, name string, score double"), 0.9, 0.6)
     assert rows(found) == wanted
     assert _most_tasks(found) == -(-(len(offered) + len(scored) - 2) // 50)
+
+
+def test_proposals_tasks_grow_in_number_with_rows(spark, monkeypatch):
+    scores = [(p, f"l{k}", (p * k) % 7 / 7) for p in range(200) for k in range(5)]
+    monkeypatch.setattr(parts, "TASK_ROWS", 50)
+    found = resolution.redundant(spark.createDataFrame(scores, "proposal bigint, label string, score double"), 0.7)
+    first = [min((r for r in scores if r[0] == p), key=lambda r: (-r[2], r[1])) for p in range(200)]
+    assert rows(found) == [r for r in first if r[2] >= 0.7]
+    assert _most_tasks(found) == 20
